@@ -1,7 +1,7 @@
 """All queries of the core, and their SQL, by name."""
 
-from waybill.plans import nested, timestamps
+from waybill.plans import nested, timestamps, units
 
-_PLANS = [nested, timestamps]
+_PLANS = [nested, timestamps, units]
 QUERIES = {k: v for plan in _PLANS for k, v in plan.QUERIES.items()}
 ORACLE = {k: v for plan in _PLANS for k, v in plan.ORACLE.items()}
