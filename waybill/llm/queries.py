@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from waybill.llm import plan_canonical
+from waybill.llm import plan_canonical, plan_language
 
-_PLANS = [plan_canonical]
+_PLANS = [plan_canonical, plan_language]
 QUERIES = {k: v for plan in _PLANS for k, v in plan.QUERIES.items()}
 ORACLE = {k: v for plan in _PLANS for k, v in plan.ORACLE.items()}
