@@ -203,8 +203,8 @@ def train(sentences: list[tuple[str, str]], epochs: int = 3, alpha: float = 0.3,
     temperature = 1.0
     if len(test):
         loss = lambda t: -_log_softmax(scores[test] / t)[np.arange(len(test)), labels[test]].mean()
-        temperature = float(min(np.geomspace(0.05, 5, 60), key=loss))
-    return Model((w * idf[:, None] * SCALE).astype(np.float32), idf.astype(np.float32), max(temperature, 0.05))
+        temperature = float(min(np.geomspace(0.25, 5, 60), key=loss))
+    return Model((w * idf[:, None] * SCALE).astype(np.float32), idf.astype(np.float32), max(temperature, 0.25))
 
 
 def sample_sentences(documents: DataFrame, per_language: int, sentences: int, seed: int = 7) -> list[tuple[str, str]]:
