@@ -44,7 +44,7 @@ def _stop_words() -> list[str]:
     words = set(f"{KINDS} {DISTRICTS} {NOISE}".split())
     for kind, entry, name in aliases():
         if kind == "country":
-            words |= set(f"{entry} {name}".lower().translate(str.maketrans(*_ACCENTS)).replace(".", " ").replace("(", " ").replace(")", " ").split())
+            words |= set(f"{entry} {name}".lower().translate(str.maketrans(*_ACCENTS)).replace(".", " ").replace("(", " ").replace(")", " ").replace("'", " ").split())
     return sorted(w for w in words if len(w) >= 4)
 
 
