@@ -3,9 +3,8 @@
 A name is taken apart (forms of address, branch notes, legal form, line of business) down to the words that are its
 own. The folded own words, joined, are points of a metric space under the unrestricted Damerau-Levenshtein distance,
 which is a true metric. Pivots are drawn from the points; each point goes home to its nearest pivot and is copied to
-every cell where the triangle inequality doesn't rule out a neighbour within the radius. Inside a cell, stored distances
-to the pivots rule out nearly all pairs (the same inequality, once per pivot) before the distance is computed.
-Equal points collapse first, so copies cost nothing; links give components, with partial names (an initial or nothing
+every cell where the triangle inequality doesn't rule out a neighbour within the radius. Inside a cell, all pairs within
+the radius are found exactly. Equal points collapse first, so copies cost nothing; links give components, with partial names (an initial or nothing
 for a word) joined to the one full name that they can mean.
 """
 
@@ -26,9 +25,9 @@ from waybill.session import cut
 
 #: Distance between two spellings of one name.
 RADIUS = 1
-#: Pivots drawn; cells of more points are worked off in blocks.
-PIVOTS = 48
-BLOCK = 2_000
+#: At most so many pivots, and strings for which one is drawn.
+PIVOTS = 4096
+PER_PIVOT = 400
 #: Own words joined that are shorter than this are a part of a name.
 LEAST_FULL = 11
 
@@ -129,87 +128,128 @@ def encode(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def distances(one: str, letters: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Unrestricted Damerau-Levenshtein distances of one string to many, vectorised over the many."""
+    """Unrestricted Damerau-Levenshtein distances of one string to many, vectorised over the many.
+
+    With unit costs a swap never pays with letters between on both sides, so two running values, one along the row and
+    one along the column, hold the best place to swap from; nothing is gathered.
+    """
     n, m, many = len(one), letters.shape[1], len(letters)
     if many == 0:
         return np.zeros(0, dtype=np.int16)
-    code = np.frombuffer(one.encode("latin-1", "replace"), dtype=np.uint8)
-    far = n + m + 1
-    table = np.zeros((n + 2, m + 2, many), dtype=np.int16)
-    table[0], table[:, 0] = far, far
-    table[1, 1:] = np.arange(m + 1)[:, None]
-    table[1:, 1] = np.arange(n + 1)[:, None]
-    last_row = np.zeros(256, dtype=np.int64)  # last row in which a letter of ``one`` stood
-    every = np.arange(many)
+    code = one.encode("latin-1", "replace")
+    kind, most, far = (np.uint8, 0xFF, 120) if n + m < 100 else (np.uint16, 0xFFFF, 30_000)
+    columns = np.ascontiguousarray(letters.T)
+    # by letter of ``one``: all bits where a column has another letter, so that an "or" makes a value too large to count
+    other = {c: (columns != c).astype(kind) * kind(most) for c in set(code)}
+    one_more = {c: o & kind(1) for c, o in other.items()}
+    above = np.repeat(np.arange(m + 1, dtype=kind)[:, None], many, axis=1)
+    before_above = np.full_like(above, far)
+    from_row = np.full_like(above, far)  # by column: cost of a swap whose other letter stood in an earlier row
     for i in range(1, n + 1):
-        last_column = np.zeros(many, dtype=np.int64)
+        c = code[i - 1]
+        row = np.empty_like(above)
+        row[0] = i
+        from_column = np.full(many, far, dtype=kind)  # the same along this row
         for j in range(1, m + 1):
-            letter = letters[:, j - 1]
-            same = letter == code[i - 1]
-            i1, j1 = last_row[letter], last_column
-            swap = table[i1, j1, every] + (i - i1 - 1) + 1 + (j - j1 - 1)
-            best = np.minimum(table[i, j] + ~same, np.minimum(table[i + 1, j], table[i, j + 1]) + 1)
-            table[i + 1, j + 1] = np.minimum(best, swap)
-            last_column = np.where(same, j, last_column)
-        last_row[code[i - 1]] = i
-    return table[n + 1, lengths + 1, every]
-
-
-def metric_join(points: DataFrame, radius: int = RADIUS, pivots: int = PIVOTS, seed: int = 5) -> DataFrame:
+            best = np.minimum(above[j], row[j - 1], out=row[j])
+            best += kind(1)
+            np.minimum(best, above[j - 1] + one_more[c][j - 1], out=best)
+            if i > 1 and j > 1:
+                np.minimum(best, from_column | other[code[i - 2]][j - 1], out=best)
+                np.minimum(best, from_row[j] | other[c][j - 2], out=best)
+            # a swap of this letter with a later one: one edit, and one for each letter passed
+            from_column += kind(1)
+            if i > 1:
+                np.minimum(from_column, (before_above[j - 1] + kind(1)) | other[c][j - 1], out=from_column)
+            from_row[j] += kind(1)
+            if j > 1:
+                np.minimum(from_row[j], (above[j - 2] + kind(1)) | other[c][j - 1], out=from_row[j])
+        before_above, above = above, row
+    return above[lengths, np.arange(many)].astype(np.int16)
+
+
+def one_edit(a: str, b: str) -> bool:
+    """Whether the distance of two strings is at most 1."""
+    n, m = len(a), len(b)
+    if abs(n - m) > 1:
+        return False
+    k = 0
+    while k < n and k < m and a[k] == b[k]:
+        k += 1
+    if n == m:
+        return a[k + 1 :] == b[k + 1 :] or (a[k : k + 2] == b[k : k + 2][::-1] and a[k + 2 :] == b[k + 2 :])
+    return a[k + 1 :] == b[k:] if n > m else a[k:] == b[k + 1 :]
+
+
+def within(texts: list[str], probes: list[int], radius: int) -> Iterator[tuple[int, int]]:
+    """(probe, other): all pairs within the radius of one cell, exactly.
+
+    Strings within the radius share a string that deletions of up to that many letters leave; those that do are
+    measured by the metric.
+    """
+    held: dict[str, list[int]] = {}
+    for i in probes:
+        for d in left_by_deletions(texts[i], radius):
+            held.setdefault(d, []).append(i)
+    for k, text in enumerate(texts):
+        met = {i for d in left_by_deletions(text, radius) for i in held.get(d, ())}
+        met.discard(k)
+        if met and radius == 1:
+            yield from ((i, k) for i in met if one_edit(texts[i], text))
+        elif met:
+            others = sorted(met)
+            letters, lengths = encode([texts[i] for i in others])
+            yield from ((i, k) for i, d in zip(others, distances(text, letters, lengths).tolist(), strict=True) if d <= radius)
+
+
+def left_by_deletions(text: str, depth: int) -> set[str]:
+    out, last = {text}, {text}
+    for _ in range(depth):
+        last = {t[:k] + t[k + 1 :] for t in last for k in range(len(t))}
+        out |= last
+    return out
+
+
+def metric_join(points: DataFrame, radius: int = RADIUS, per_pivot: int = PER_PIVOT, seed: int = 5) -> DataFrame:
     """(a, b), a < b: ids of points (id, s) whose strings are within the radius.
 
-    Pivots are a bounded sample (``pivots`` strings drawn by a hash); any choice gives the same links, only the cells
-    differ. Points with null or empty strings have no links. Equal strings collapse before the join and link as a star.
+    Pivots are a sample, one for ``per_pivot`` strings, at most ``PIVOTS`` (which bounds their broadcast); any choice
+    gives the same links, only the cells differ. Points with null or empty strings have no links. Equal strings collapse
+    before the join and link as a star.
+
+    A string goes home to its nearest pivot, the first of several. If x is at home with p, then d(x, p) <= d(x, q) for
+    later and d(x, p) < d(x, q) for earlier pivots q, hence a string y within the radius of x has
+    d(y, p) <= d(y, q) + 2 radius, less one for earlier q. Cells in which a string fails this hold no neighbour of it.
     """
     spark = points.sparkSession
-    points = points.select("id", "s").where("id IS NOT NULL AND s <> ''").distinct()
+    points = cut(points.select("id", "s").where("id IS NOT NULL AND s <> ''").distinct())
     strings = cut(points.groupBy("s").agg(F.min("id").alias("id")))
     stars = points.join(strings.select("s", F.col("id").alias("rep")), "s").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    drawn = [r["s"] for r in strings.orderBy(F.xxhash64("s", F.lit(seed)), "s").select("s").limit(pivots).collect()]
+    wanted = min(PIVOTS, max(24, strings.count() // per_pivot))
+    drawn = [r["s"] for r in strings.orderBy(F.xxhash64("s", F.lit(seed)), "s").select("s").limit(wanted).collect()]
     shared = spark.sparkContext.broadcast(drawn)
     reach = 2 * radius
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         chosen = shared.value
         for batch in batches:
-            texts = batch["s"].tolist()
-            letters, lengths = encode(texts)
+            texts, ids = batch["s"].to_numpy(), batch["id"].to_numpy()
+            letters, lengths = encode(texts.tolist())
             d = np.stack([distances(p, letters, lengths) for p in chosen], axis=1) if len(texts) else np.zeros((0, len(chosen)), np.int16)
-            nearest = d.argmin(axis=1)
-            row, cell = np.nonzero(d <= d.min(axis=1, keepdims=True) + reach)
-            kept = np.minimum(d, 255).astype(np.uint8)
-            for at in range(0, len(row), 50_000):
-                r, c = row[at : at + 50_000], cell[at : at + 50_000]
-                yield pd.DataFrame({"cell": c.astype(np.int32), "home": nearest[r] == c, "id": batch["id"].to_numpy()[r], "s": batch["s"].to_numpy()[r], "d": [kept[i].tobytes() for i in r]})
-
-    cells = strings.mapInPandas(assign, "cell int, home boolean, id long, s string, d binary")
-    # homes are spread over several tasks a cell; every task of a cell gets its copies
-    parts = 4
-    home = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
-    spread = cells.where("home").withColumn("part", home).unionByName(cells.withColumn("home", F.lit(False)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))))
-
-    def join(key: tuple, frames: pd.DataFrame) -> pd.DataFrame:
-        mine, all_ = frames[frames["home"]], frames[~frames["home"]]
-        out_a, out_b = [], []
-        if len(mine) and len(all_):
-            letters, lengths = encode(all_["s"].tolist())
-            d = np.stack([np.frombuffer(x, dtype=np.uint8) for x in all_["d"]]).astype(np.int16)
-            ids = all_["id"].to_numpy()
-            for text, own, dist in zip(mine["s"], mine["id"], mine["d"], strict=True):
-                apart = np.frombuffer(dist, dtype=np.uint8).astype(np.int16)
-                near = np.flatnonzero(np.abs(lengths - len(text)) <= radius)
-                for k in range(0, d.shape[1], 4):
-                    if not len(near):
-                        break
-                    near = near[(np.abs(d[near, k : k + 4] - apart[k : k + 4]) <= radius).all(axis=1)]
-                near = near[ids[near] != own]
-                if len(near):
-                    met = near[distances(text, letters[near], lengths[near]) <= radius]
-                    out_a += [min(own, x) for x in ids[met].tolist()]
-                    out_b += [max(own, x) for x in ids[met].tolist()]
-        return pd.DataFrame({"a": out_a, "b": out_b}, dtype="int64")
-
-    links = spread.groupBy("cell", "part").applyInPandas(join, "a long, b long")
+            least = d.min(axis=1, keepdims=True) if len(texts) else d
+            earlier = np.minimum.accumulate(np.c_[np.full(len(d), 10_000, np.int16), d[:, :-1]], axis=1)
+            row, cell = np.nonzero((d <= least + reach) & (d <= earlier + reach - 1))
+            home = d.argmin(axis=1)[row] == cell if len(texts) else np.zeros(0, bool)
+            yield pd.DataFrame({"cell": cell.astype(np.int32), "home": home, "id": ids[row], "s": texts[row]})
+
+    cells = strings.repartition(F.col("s")).mapInPandas(assign, "cell int, home boolean, id long, s string")
+
+    def join(frame: pd.DataFrame) -> pd.DataFrame:
+        ids, texts = frame["id"].tolist(), frame["s"].tolist()
+        links = [(min(ids[i], ids[k]), max(ids[i], ids[k])) for i, k in within(texts, np.flatnonzero(frame["home"]).tolist(), radius) if ids[i] != ids[k]]
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    links = cells.groupBy("cell").applyInPandas(join, "a long, b long")
     return links.unionByName(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
 
 
@@ -236,10 +276,12 @@ def link_names(names: DataFrame, name: str = "name") -> DataFrame:
     taken = cut(taken.withColumn("full", full).withColumn("id", node))
     nodes = taken.select("id").distinct()
     fulls = taken.where("full").select("id", "s", "long", "raw", "business", "form")
-    # points of a name: its own words in the order given and, if two, in the other, folded and as written
+    # points of a name: its own words joined as given, folded and as written; two words also in the other order, unless
+    # they clearly stand longer word first, which then is the order in which the others are turned to meet them
     second, first = F.get("long", F.lit(1)), F.get("long", F.lit(0))
-    turned, as_written = F.when(F.size("long") == 2, F.concat(second, first)), F.concat_ws("", "raw")
-    written_turned = F.when(F.size("raw") == 2, F.concat(F.get("raw", F.lit(1)), F.get("raw", F.lit(0))))
+    turn = (F.size("long") == 2) & (F.length(first) < F.length(second) + 2)
+    turned, as_written = F.when(turn, F.concat(second, first)), F.concat_ws("", "raw")
+    written_turned = F.when(turn & (F.size("raw") == 2), F.concat(F.get("raw", F.lit(1)), F.get("raw", F.lit(0))))
     points = fulls.select("id", F.explode(F.array_distinct(F.filter(F.array("s", turned, as_written, written_turned), lambda x: x.isNotNull()))).alias("s"))
     says = lambda a, b: (a == "") | (b == "") | (a == b)
     line = fulls.select("id", "business").distinct()
