@@ -48,11 +48,12 @@ def general(x: Column | str) -> Column:
     """Six significant digits without trailing zeros; scientific from 1e6 and below 1e-4."""
     v = _c(x).cast("double")
     size = F.abs(v)
-    e = F.when(size == 0, 0).otherwise(F.floor(F.log10(F.format_string("%.5e", size).cast("double"))).cast("int"))
-    plain = F.element_at(F.array(*[F.format_string(f"%.{d}f", v) for d in range(10)]), F.greatest(F.lit(1), F.least(F.lit(10), 6 - e)))
+    e = F.when(size == 0, 0).otherwise(F.floor(F.log10(size)).cast("int"))
+    # format_number rounds the binary value itself, half to even, as people's tools do
+    plain = F.element_at(F.array(*[F.replace(F.format_number(v, d), F.lit(","), F.lit("")) for d in range(10)]), F.greatest(F.lit(1), F.least(F.lit(10), 6 - e)))
     trimmed = F.when(F.contains(plain, F.lit(".")), F.regexp_replace(plain, r"\.?0+$", "")).otherwise(plain)
     science = F.regexp_replace(F.format_string("%.5e", v), r"\.?0*e", "e")
-    return F.when((size != 0) & ((e >= 6) | (e < -4)), science).otherwise(trimmed)
+    return F.when((size != 0) & ((F.abs(plain.cast("double")) >= 1e6) | (e < -4)), science).otherwise(trimmed)
 
 
 def cleaned_number(x: Column | str) -> Column:

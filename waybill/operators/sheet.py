@@ -146,23 +146,33 @@ def compile_node(node: Node, cell) -> Column:
         return value("n", num=F.lit(node.value))
     if node.op == "ref":
         return cell(node.value)
+    return _bound(args, lambda values: _applied(node.op, values))
+
+
+def _bound(args: list[Column], made) -> Column:
+    """``made`` of the arguments, each of which stands in the expression once, so that chains of cells grow no faster than they are long."""
+    held = F.array(F.struct(*[a.alias(f"a{i}") for i, a in enumerate(args)]))
+    return F.get(F.transform(held, lambda s: made([s[f"a{i}"] for i in range(len(args))])), F.lit(0))
+
+
+def _applied(op: str, args: list[Column]) -> Column:
     failed = None
     for a in args:
         failed = (a["kind"] == "e") if failed is None else failed | (a["kind"] == "e")
-    if node.op == "if":
+    if op == "if":
         other = args[2] if len(args) == 3 else value("b", num=F.lit(0.0))
         test = F.when(args[0]["kind"] == "s", F.lit(False)).otherwise(args[0]["num"] != 0)
         return F.when(failed, ERROR()).when(test, args[1]).otherwise(other)
-    if node.op == "&":
+    if op == "&":
         return F.when(failed, ERROR()).otherwise(value("s", txt=F.concat(as_text(args[0]), as_text(args[1]))))
-    if node.op in ("=", "<>", "<", ">", "<=", ">="):
+    if op in ("=", "<>", "<", ">", "<=", ">="):
         texts = (args[0]["kind"] == "s") | (args[1]["kind"] == "s")
         low = [F.lower(F.trim(as_text(a))) for a in args]
         num = [a["num"] for a in args]
-        say = {"=": lambda x, y: x == y, "<>": lambda x, y: x != y, "<": lambda x, y: x < y, ">": lambda x, y: x > y, "<=": lambda x, y: x <= y, ">=": lambda x, y: x >= y}[node.op]
+        say = {"=": lambda x, y: x == y, "<>": lambda x, y: x != y, "<": lambda x, y: x < y, ">": lambda x, y: x > y, "<=": lambda x, y: x <= y, ">=": lambda x, y: x >= y}[op]
         return F.when(failed, ERROR()).otherwise(value("b", num=F.when(texts, say(*low)).otherwise(say(*num)).cast("double")))
     numbers = [as_number(a) for a in args]
-    made = -numbers[0] if node.op == "neg" else {"+": lambda x, y: x + y, "-": lambda x, y: x - y, "*": lambda x, y: x * y, "/": F.try_divide}[node.op](*numbers)
+    made = -numbers[0] if op == "neg" else {"+": lambda x, y: x + y, "-": lambda x, y: x - y, "*": lambda x, y: x * y, "/": F.try_divide}[op](*numbers)
     return F.when(failed | made.isNull(), ERROR()).otherwise(value("n", num=made))
 
 
@@ -178,7 +188,7 @@ def evaluate(book: DataFrame, formulas: dict[str, str]) -> DataFrame:
         except Unsupported:
             trees[ref] = None
     here = set(book.columns)
-    settle = lambda v: F.when(v["kind"] == "e", BLANK()).otherwise(v)
+    settle = lambda v: _bound([v], lambda a: F.when(a[0]["kind"] == "e", BLANK()).otherwise(a[0]))
     done: set[str] = set()
     out = book
     todo = dict(trees)
