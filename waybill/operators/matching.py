@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 from waybill.functions import text as T
 from waybill.session import python_trim
@@ -172,17 +172,10 @@ def assign_rows(rows: DataFrame, items: DataFrame, cutoff: float = ROW_CUTOFF) -
     score = F.greatest(ratio("rk", "ik"), ratio("rp", "ip"), T.containment("rk", "ip"), T.leading("rp", "ip"))
     scored = r.join(i, "doc_id").select("doc_id", "row_ix", "item_ix", score.alias("score")).where(F.col("score") >= cutoff)
 
-    def take(frame: pd.DataFrame) -> pd.DataFrame:
-        ordered = frame.sort_values(["score", "row_ix", "item_ix"], ascending=[False, True, True], kind="stable")
-        used_rows, used_items, kept = set(), set(), []
-        for k, (a, b) in enumerate(zip(ordered["row_ix"], ordered["item_ix"], strict=True)):
-            if a not in used_rows and b not in used_items:
-                used_rows.add(a)
-                used_items.add(b)
-                kept.append(k)
-        return ordered.iloc[kept]
-
-    return scored.groupBy("doc_id").applyInPandas(take, scored.schema)
+    best_first = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("row_ix").cast("bigint").alias("r"), F.col("item_ix").cast("bigint").alias("i"))))
+    taken = F.expr("aggregate(p, cast(array() as array<struct<s: double, r: bigint, i: bigint>>), (acc, x) -> if(exists(acc, y -> y.r = x.r OR y.i = x.i), acc, concat(acc, array(x))))")
+    folded = scored.groupBy("doc_id").agg(best_first.alias("p")).select("doc_id", F.inline(taken))
+    return folded.select("doc_id", F.col("r").cast("int").alias("row_ix"), F.col("i").cast("int").alias("item_ix"), (-F.col("s")).alias("score"))
 
 
 def row_actions(rows: DataFrame, items: DataFrame, assigned: DataFrame) -> DataFrame:
@@ -205,26 +198,31 @@ def titled_runs(items: DataFrame) -> DataFrame:
     The shared words shrink as a run grows, so it is a fold over each document's items.
     """
 
-    def runs(frame: pd.DataFrame) -> pd.DataFrame:
-        ordered = frame.sort_values("item_ix")
-        out, at = [], 0
-        rows = [(int(i), (p or "").split()) for i, p in zip(ordered["item_ix"], ordered["parameter"], strict=True)]
-        while at < len(rows):
-            shared, end = rows[at][1], at + 1
-            while end < len(rows):
-                k = 0
-                while k < min(len(shared), len(rows[end][1])) and shared[k].lower() == rows[end][1][k].lower():
-                    k += 1
-                if k < 2:
-                    break
-                shared, end = shared[:k], end + 1
-            title = " ".join(shared) if end - at > 1 else None
-            out += [(rows[k][0], title) for k in range(at, end)]
-            at = end
-        return pd.DataFrame({"doc_id": frame["doc_id"].iloc[0], "item_ix": [i for i, _ in out], "title": [t for _, t in out]})
-
-    schema = f"doc_id {dict(items.dtypes)['doc_id']}, item_ix bigint, title string"
-    return items.select("doc_id", F.col("item_ix").cast("bigint").alias("item_ix"), "parameter").groupBy("doc_id").applyInPandas(runs, schema)
+    @F.pandas_udf(ArrayType(StringType()))
+    def runs(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([_titles([(p or "").split() for p in parameters]) for parameters in batch])
+
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("item_ix").cast("bigint").alias("item_ix"), "parameter")))
+    docs = items.groupBy("doc_id").agg(ordered.alias("_i"))
+    titled = docs.withColumn("_t", runs(F.transform("_i", lambda x: x["parameter"])))
+    return titled.select("doc_id", F.inline(F.arrays_zip(F.transform("_i", lambda x: x["item_ix"]).alias("item_ix"), F.col("_t").alias("title"))))
+
+
+def _titles(rows: list[list[str]]) -> list[str | None]:
+    out: list[str | None] = []
+    while len(out) < len(rows):
+        at = len(out)
+        shared, end = rows[at], at + 1
+        while end < len(rows):
+            k = 0
+            while k < min(len(shared), len(rows[end])) and shared[k].lower() == rows[end][k].lower():
+                k += 1
+            if k < 2:
+                break
+            shared, end = shared[:k], end + 1
+        out += [" ".join(shared) if end - at > 1 else None] * (end - at)
+    return out
 
 
 def adjacent_values(cells: DataFrame) -> DataFrame:
