@@ -56,7 +56,7 @@ def place_tokens(df: DataFrame, key: str, text: str) -> DataFrame:
     body = F.regexp_replace(F.col(text).cast("string"), r"^[^\n]*\n?", "")
     plain = F.translate(F.lower(body), *_ACCENTS)
     some = lambda c: F.nullif(c, F.lit(""))
-    stop = F.array(*[F.lit(w) for w in _stop_words()])
+    stop = F.array(*[F.lit(w) for w in ["", *_stop_words()]])
     return (
         df.select(F.col(key).alias(key), plain.alias("_t"))
         .withColumn("_box", some(F.regexp_extract("_t", BOX, 1)))
@@ -64,7 +64,7 @@ def place_tokens(df: DataFrame, key: str, text: str) -> DataFrame:
         .withColumn("_t", F.regexp_replace("_t", STRAY, " | "))
         .withColumn("_post", some(F.regexp_extract("_t", r"(?<!\d)(\d{5,6})(?!\d)", 1)))
         .withColumn("_house", some(F.regexp_extract(F.regexp_replace("_t", r"(?<!\d)\d{5,}(?!\d)", " "), r"(?<!\d)0*(\d{1,4})(?!\d)", 1)))
-        .withColumn("_words", F.array_sort(F.array_distinct(F.filter(F.split(F.regexp_replace(F.regexp_replace("_t", r"[^a-z]+", " "), "ph", "f"), " "), lambda w: (F.length(w) >= 4) & ~F.array_contains(stop, w)))))
+        .withColumn("_words", F.array_sort(F.array_except(F.split(F.regexp_replace(F.regexp_replace(F.regexp_replace("_t", r"[^a-z]+", " "), r"\b[a-z]{1,3}\b", ""), "ph", "f"), " +"), stop)))
         .select(key, F.col("_house").alias("house"), F.col("_box").alias("box"), F.col("_post").alias("post"), F.col("_words").alias("words"))
     )
 
@@ -118,12 +118,13 @@ def same_places(records: DataFrame, key: str, text: str, trusted: str) -> DataFr
         .select("id", "house", "post", F.array_sort(F.transform("by_rarity", lambda x: x["word"])).alias("words"), F.map_from_entries(F.transform("by_rarity", lambda x: F.struct(x["word"], -x["r"]))).alias("weight"), F.slice(F.transform("by_rarity", lambda x: x["word"]), 1, RARE_WORDS).alias("rare"))
     )
     weighted = cut(weighted)
-    block = F.explode(F.filter(F.concat(F.transform("rare", lambda w: F.concat_ws("|", "house", F.substring(w, 1, HEAD))), F.array(F.concat(F.col("house"), F.lit("#"), F.col("post")))), lambda b: b.isNotNull())).alias("block")
-    blocks = weighted.select("id", "post", "words", "weight", block)
-    left = blocks.select("block", F.col("id").alias("a"), F.col("post").alias("a_post"), F.col("words").alias("a_words"), F.col("weight").alias("a_weight"))
-    right = blocks.select("block", F.col("id").alias("b"), F.col("post").alias("b_post"), F.col("words").alias("b_words"), F.col("weight").alias("b_weight"))
+    every = F.array_distinct(F.filter(F.concat(F.transform("rare", lambda w: F.concat_ws("|", "house", F.substring(w, 1, HEAD))), F.array(F.concat(F.col("house"), F.lit("#"), F.col("post")))), lambda b: b.isNotNull()))
+    blocks = weighted.withColumn("every", every).select("id", "post", "words", "weight", "every", F.explode("every").alias("block"))
+    left = blocks.select("block", F.col("id").alias("a"), F.col("post").alias("a_post"), F.col("words").alias("a_words"), F.col("weight").alias("a_weight"), F.col("every").alias("a_every"))
+    right = blocks.select("block", F.col("id").alias("b"), F.col("post").alias("b_post"), F.col("words").alias("b_words"), F.col("weight").alias("b_weight"), F.col("every").alias("b_every"))
     post_weight = F.lit(math.log(max(rows, 2)) / 2)
-    met = left.join(right, "block").where("a < b").drop("block")
+    # a pair that meets in several blocks counts in the first of them
+    met = left.join(right, "block").where("a < b").where(F.get(F.array_intersect("a_every", "b_every"), F.lit(0)) == F.col("block")).drop("block", "a_every", "b_every")
     street_links = _similar(met.withColumn("post_weight", post_weight)).select("a", "b")
 
     # a box number is rare by itself: forms of one number agree if a word does, or one of them has none
