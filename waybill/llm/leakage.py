@@ -32,6 +32,10 @@ SAMPLE = 8
 SHARD = 1 << 18
 #: Words of an item that phrases must cover before an alignment is tried.
 COVERED = 7
+#: Share of the shortest passage that phrases without a change must cover; with every eighth word changed they cover three quarters.
+INTACT = 0.4
+#: Words that a passage may drop or add between phrases that count together.
+BAND = 12
 
 _INVISIBLE = "­​‌‍⁠﻿"
 WORD = re.compile(rf"[^\W_]+(?:(?:[{_INVISIBLE}]+(?:-\n)?|-\n(?=[^\W\d_])|['’])[^\W_]+)*", re.U)
@@ -197,6 +201,21 @@ def aligned(item: np.ndarray, text: np.ndarray) -> tuple[float, int, int, int, i
     return score, i - back_i, i, j - back_j, j
 
 
+def _one_band(diagonals: np.ndarray, places: np.ndarray, need: int) -> bool:
+    """Whether phrases on nearly one diagonal cover so many words: those of a passage do, but for the words it drops or adds."""
+    order = np.argsort(diagonals, kind="stable")
+    d, at = diagonals[order].tolist(), places[order].tolist()
+    for i in range(len(d)):
+        words: set[int] = set()
+        for k in range(i, len(d)):
+            if d[k] - d[i] > BAND:
+                break
+            words.update(range(at[k], at[k] + PHRASE))
+            if len(words) >= need:
+                return True
+    return False
+
+
 def _search_shard(texts: list[list[int]], items: Items, share: float) -> Iterator[tuple[int, int, int, int, int, int]]:
     """(document's place in the shard, item's place, item start, item end, first word, word after) of each passage."""
     symbols, token_of, doc_of = [], [], []
@@ -240,10 +259,7 @@ def _search_shard(texts: list[list[int]], items: Items, share: float) -> Iterato
             if b - a < COVERED - PHRASE + 1:
                 continue
             part = hit[s + a : s + b]
-            covered = np.zeros(n, dtype=bool)
-            for k in range(PHRASE):
-                covered[part[:, 3] + k] = True
-            if covered.sum() < COVERED:
+            if not _one_band(part[:, 2] - part[:, 3], part[:, 3], max(COVERED, int(INTACT * least))):
                 continue
             own = np.array(texts[d], dtype=np.int64)
             todo = [(max(0, int(part[0, 2]) - n), min(len(own), int(part[-1, 2]) + n + PHRASE))]
