@@ -123,8 +123,10 @@ class Model:
                 end += 1
             bucket, owner = grams(units[at:end])
             mass = np.bincount(owner, self.idf[bucket], end - at)
-            for k in range(len(LANGUAGES)):
-                out[at:end, k] = np.bincount(owner, self.weights[bucket, k], end - at)
+            # owners ascend within each order of n-grams: sum their runs, one row of weights an n-gram
+            first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, np.int64)
+            if len(first):
+                np.add.at(out, at + owner[first], np.add.reduceat(self.weights[bucket], first, axis=0))
             out[at:end] /= np.maximum(mass, 1e-9)[:, None]
             at = end
         return _log_softmax(out / self.temperature)
