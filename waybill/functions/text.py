@@ -26,7 +26,7 @@ KNOWN_LABELS = (
 )
 # Words of dates to come and of signatures.
 RETEST_WORDS = ("retest", "requalification", "recheck", "reevaluation", "reassessment", "reverification")
-SIGNATURE_WORDS = ("signature", "signed", "authorized", "authorised", "approved by", "checked by", "prepared by", "reviewed by", "analyst", "qa manager", "qc manager", "stamp", "seal", "responsible person")
+SIGNATURE_WORDS = ("signature", "sign here", "authorized", "authorised", "checked by", "approved by", "prepared by", "verified by", "qa manager", "qc manager", "analyst", "chemist", "authorised signatory", "authorized signatory")
 # Roles of header cells by substring, the first that fits.
 ROLES = (
     ("no", ("s no", "sr no", "sl no", "no", "sr no", "sl no")),

@@ -14,9 +14,9 @@ from waybill.functions.text import filled, padded
 from waybill.operators.rollup import item_batches, item_total, joined_batches, shipment_items, shipment_totals, summed_weights
 
 #: The forms and the documents of each.
-FORMS = {"vigorous": ("invoice", "packing", "coo"), "thosco": ("invoice", "packing", "coo"), "germany": ("invoice", "packing", "coo"), "dubai": ("invoice", "packing"), "jordan": ("invoice", "packing")}
+FORMS = {"classic": ("invoice", "packing", "coo"), "wide": ("invoice", "packing", "coo"), "germany": ("invoice", "packing", "coo"), "dubai": ("invoice", "packing"), "jordan": ("invoice", "packing")}
 # Widths of the padded columns of item lines, by form.
-PADS = {"vigorous": (36, 25, 28), "thosco": (58, 32, 24), "germany": (36, 32, 38)}
+PADS = {"classic": (36, 25, 28), "wide": (58, 32, 24), "germany": (36, 32, 38)}
 SYMBOLS = {"USD": "$", "EUR": "€", "GBP": "£"}
 
 
@@ -49,9 +49,9 @@ def date_of_batch() -> Column:
 
 def batch_line(form: str) -> Column:
     no, made, expiry = F.col("batch_no"), F.col("manufacturing_date"), F.col("expiry_date")
-    if form == "vigorous":
+    if form == "classic":
         return F.concat(F.lit(" " * 17 + "Batch NO: "), no, F.lit(" " * 13 + "Mfg. Date: "), made, F.lit(" " * 17), date_of_batch())
-    if form == "thosco":
+    if form == "wide":
         return F.concat(F.lit(" " * 19 + "BATCH NO.:   "), no, F.lit(" " * 14 + "MFG. DATE: "), made, F.lit(" " * 10 + "/" + " " * 11 + "EXP. DATE: "), expiry, F.lit(" " * 4))
     return F.concat(F.lit(" " * 11 + "Batch no.:  "), no, F.lit(" " * 15 + "Mfg. Date: "), made, F.lit("   /" + " " * 11 + "Ret. Date: "), expiry)
 
@@ -80,12 +80,12 @@ def form_lines(shipments: DataFrame, form: str) -> DataFrame:
     c = F.col
     parts: list[DataFrame] = []
     if form in PADS:
-        blank = form == "vigorous"
+        blank = form == "classic"
         no, date = (c("invoice_no"), c("invoice_date")) if blank else (_or_na("invoice_no"), _or_na("invoice_date"))
-        if form == "vigorous":
+        if form == "classic":
             top = [text("No: ", no, " Dated: ", date)]
             end = [text("VALUE TOTAL USD ", money("grand_total")), text("SAY ", _say()), text("Manufacturer ", c("manufacturers")), text("Origin: ", c("origin_upper")), text("(", c("origin_upper"), ")")]
-        elif form == "thosco":
+        elif form == "wide":
             top = [text("NO. ", no, " DATE: ", date)]
             end = [text("TOTAL AMOUNT: (", c("currency"), " ", money("grand_total"), ")  SAY ", _say()), text("MANUFACTURER : ", c("manufacturers")), text("ORIGIN : ", c("origin_upper"))]
         else:
@@ -96,20 +96,20 @@ def form_lines(shipments: DataFrame, form: str) -> DataFrame:
         parts.append(_lines(real, form, "invoice", [1, c("item_ix"), 0] if blank else [1, c("item_ix")], item_line(form)))
         parts.append(_lines(batches, form, "invoice", [1, c("item_ix"), 1, c("batch_ix")] if blank else [2, c("item_ix"), c("batch_ix")], batch_line(form)))
         parts.append(_header_lines(h, form, "invoice", 3, end))
-        if form == "vigorous":
+        if form == "classic":
             parts.append(_lines(real, form, "packing", [1, c("item_ix")], text("N/M | ", c("material_name"), "\n\n", c("packaging_description"), "\nGR.WT. ", c("gross_weight_text"), ".\nNT.WT. ", c("net_weight_text"), ".\n")))
             parts.append(_header_lines(h, form, "packing", 2, [text("TOTAL GR. WT ", c("gross_total"), "   -   TOTAL NT.WT. ", c("net_total"), "\nTOTAL ", c("packages"), ".")]))
             parts.append(_header_lines(h, form, "coo", 0, [_or_na("packages"), c("materials"), text("    ", c("origin_upper")), _or_na("net_total"), F.when(c("invoice_no") != "", text(" ", c("invoice_no"), " ")).otherwise(""), c("invoice_date")]))
         else:
-            wide = form == "thosco"
-            labels = ("PRODUCT:" + " " * (31 if wide else 28), "PACKED IN:" + " " * (29 if wide else 27))
+            broad = form == "wide"
+            labels = ("PRODUCT:" + " " * (31 if broad else 28), "PACKED IN:" + " " * (29 if broad else 27))
             parts.append(_lines(real, form, "packing", [1, c("item_ix"), 0], text(labels[0], c("material_name"))))
             parts.append(_lines(real, form, "packing", [1, c("item_ix"), 1], text(labels[1], c("packaging_description"))))
-            parts.append(_header_lines(h, form, "packing", 2, [text("TOTAL NET WIGHT:" + " " * 15, c("net_total")), text("TOTAL GROSS WEIGHT:" + " " * (8 if wide else 7), c("gross_total")), text("TOTAL PACKAGES:" + " " * (17 if wide else 15), c("packages"))]))
+            parts.append(_header_lines(h, form, "packing", 2, [text("TOTAL NET WIGHT:" + " " * 15, c("net_total")), text("TOTAL GROSS WEIGHT:" + " " * (8 if broad else 7), c("gross_total")), text("TOTAL PACKAGES:" + " " * (17 if broad else 15), c("packages"))]))
             materials = F.when(c("materials") == "N/A", "").otherwise(c("materials"))
             goods = text(c("packages"), " OF ", materials)
-            dated = " DATED :" if wide else " DATED:  "
-            parts.append(_header_lines(h, form, "coo", 0, [padded(goods, 90) if wide else goods, text("INVOICE NO: ", _or_na("invoice_no"), dated, _or_na("invoice_date")), text("ORIGIN OF THE GOODS IS ", c("origin_upper")), text("MANUFACTURER NAME: " if wide else "", c("manufacturers")), c("origin_upper"), text("       NET: ", c("net_total"), "  " if wide else " ")]))
+            dated = " DATED :" if broad else " DATED:  "
+            parts.append(_header_lines(h, form, "coo", 0, [padded(goods, 90) if broad else goods, text("INVOICE NO: ", _or_na("invoice_no"), dated, _or_na("invoice_date")), text("ORIGIN OF THE GOODS IS ", c("origin_upper")), text("MANUFACTURER NAME: " if broad else "", c("manufacturers")), c("origin_upper"), text("       NET: ", c("net_total"), "  " if broad else " ")]))
     elif form == "dubai":
         top = [text("INV No.:   ", _or_na("invoice_no"), "\n\nDATED:  ", _or_na("invoice_date")), _or_na("origin_upper")]
         joined = F.filter(F.coalesce("batches", F.array().cast(dict(items.dtypes)["batches"])), lambda b: b.isNotNull())
