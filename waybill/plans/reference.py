@@ -386,6 +386,8 @@ ORACLE = {
     "ref_sheet_values": f"""WITH {_ORDERS}, x AS (SELECT po_id, {_TRIM.format("coalesce(product_name, '')")} AS p, {_TRIM.format("coalesce(origin_country, '')")} AS c, coalesce(quantity, 0) AS q, coalesce(unit_price, 0) AS u, lower({_TRIM.format("coalesce(shipment_mode, '')")}) AS m FROM o)
         SELECT po_id, p AS b16, c AS b22, 'full' AS a26, CASE WHEN m LIKE 'sea%' THEN 'BL Telex Release:' ELSE 'AWB:' END AS a27, CASE WHEN lower(trim(c)) = 'china' THEN 'CCPIT' ELSE 'CoC' END AS c33, 'Origin: ' || c AS b38, '' AS d10,
           CASE WHEN replace(p, ',', '') = '' THEN '0.0' ELSE coalesce(round(try_cast(replace(p, ',', '') AS DOUBLE) * 2, 4)::VARCHAR, '') END AS d11, round(q * u, 4) AS c11, round(-(q + 1) / 2, 4) AS d9 FROM x""",
+    "ref_known_labels": rf"""WITH {_FIELDS}, l AS (SELECT DISTINCT label, {_TRIM.format("label")} AS t FROM f), k AS (SELECT label, t, {_TRIM.format("regexp_replace(t, '[.\-]+$', '')")} AS x FROM l)
+        SELECT label, CASE WHEN x <> '' AND NOT regexp_matches(x, '[:：]') AND length(x) <= 45 AND regexp_matches(x, '{_KNOWN}') THEN x END AS known, CASE WHEN NOT regexp_matches(label, '[:：]') AND length(t) BETWEEN 1 AND 60 THEN t END AS bare FROM k""",
     "ref_fitted_lines": rf"""WITH l AS (SELECT id, list_filter(list_transform(string_split(full_text, E'\n'), lambda x: {_TRIM.format("x")}), lambda x: x <> '') AS l FROM customers WHERE full_text IS NOT NULL)
         SELECT id, CASE WHEN len(l) <= 3 THEN array_to_string(list_resize(l, 3, ''), '|') ELSE l[1] || '|' || l[2] || '|' || array_to_string(l[3:], ', ') END AS block FROM l""",
     "ref_cell_upserts": f"""WITH {_ORDERS} SELECT po_id::VARCHAR AS sheet, ref, CASE ref WHEN 'B8' THEN coalesce(product_name, '') WHEN 'B9' THEN '0' WHEN 'C10' THEN '' ELSE 'new' END AS value, CASE ref WHEN 'C10' THEN '=B9*B10' END AS formula, CASE WHEN ref <> 'AA12' THEN 's1' END AS style, CASE ref WHEN 'B8' THEN 8 WHEN 'B9' THEN 9 WHEN 'C10' THEN 10 ELSE 12 END AS row, CASE ref WHEN 'C10' THEN 3 WHEN 'AA12' THEN 27 ELSE 2 END AS col
