@@ -106,6 +106,23 @@ def test_best_match_against_plain_loops(spark):
         assert r["key"] == reference_match(norm[r["label"]], keys), (r, keys)
 
 
+def test_four_passes_of_a_header(spark):
+    assert one(spark, T.leading_label("a", "b"), a="Batch No 12", b="Batch No.") is None
+    assert one(spark, T.leading_label("a", "b"), a=" LOT.  no.:12", b="Lot no.") == "12"
+    fields = spark.createDataFrame([(1, i, x, f"v{i}") for i, x in enumerate(["Product", "Product Name", "Quantity", "Net weight", "Grade", "Batch No"])], "doc_id long, field_ix int, label string, value string")
+    slots = lambda *rows: spark.createDataFrame([(1, i, x) for i, x in rows], "doc_id long, slot_ix int, label string")
+    texts = ["Product Name Aspirin", "Product Name Aspirin tablets", "Quantity 185.00 KG", "Quantity 9", "Batch No 7", "Fax 1", "Product: Name"]
+    lines = spark.createDataFrame([(1, i if i < 2 else 2, 10 + i, x) for i, x in enumerate(texts)], "doc_id long, para_ix int, slot_ix int, label string")
+    got = matching.fill_slots(slots((0, "Batch No")), slots((20, "Net weight"), (21, "Net wt."), (22, "Quantity"), (23, "Hall")), slots((30, "Grade")), fields, lines)
+    assert sorted((r["pass"], r["slot_ix"], r["action"], r["new_value"]) for r in got.collect()) == [
+        (1, 0, "fill", "v5"),
+        (2, 10, "fill", "v0"), (2, 11, "fill", "v1"), (2, 12, "keep", None), (2, 13, "fill", "v2"), (2, 14, "keep", None), (2, 15, "keep", None), (2, 16, "keep", None),
+        (3, 20, "fill", "v3"), (3, 21, "keep", None), (3, 22, "keep", None), (3, 23, "clear", ""),
+        (4, 30, "fill", "v4"),
+    ]
+    assert matching.unused_fields(got, fields).count() == 0
+
+
 def test_rows_assigned_best_first(spark):
     rows = spark.createDataFrame([(1, 0, "Assay", ""), (1, 1, "Single impurity", "<0.10%"), (1, 2, "Impurity B", "<0.10%")], "doc_id long, row_ix int, parameter string, specification string")
     items = spark.createDataFrame([(1, 0, "Any individual impurity", "<0.10%"), (1, 1, "Assay (By HPLC, %w/w)", "98 - 102"), (1, 2, "pH", "5 - 7"), (2, 0, None, None)], "doc_id long, item_ix int, parameter string, specification string")

@@ -150,11 +150,15 @@ def line_fields(line: Column | str) -> Column:
 
 
 def leading_label(line: Column | str, label: Column | str) -> Column:
-    """The rest of a line that begins with a label without a colon, null if it doesn't or nothing is left."""
+    """The rest of a line that begins with a label without a colon, null if it doesn't or nothing is left.
+
+    The label's own characters count, its blanks as any blanks and points.
+    """
     n, key = normalize(line), normalize(label)
-    parts = F.transform(words(key), lambda w: F.concat(F.lit(r"\Q"), w, F.lit(r"\E")))
-    rest = F.regexp_replace(_c(line), F.concat(F.lit(r"(?i)^\s*"), F.array_join(parts, r"[\W_]*"), F.lit(r"[\s.]*[:\-]?\s*")), F.lit(""))
-    return F.when((key != "") & F.startswith(n, F.concat(key, F.lit(" "))) & ~rest.rlike("[:：]") & (rest != ""), rest)
+    parts = F.transform(F.split(filled(label), r"(?U)\s+"), lambda w: F.regexp_replace(w, r"([^\p{L}\p{N}])", r"\\$1"))
+    begin = F.concat(F.lit(r"(?iU)^\s*"), F.array_join(parts, r"[\s.]*"), F.lit(r"\s*[:\-]?\s*"))
+    rest = F.regexp_replace(_c(line), begin, F.lit(""))
+    return F.when((key != "") & F.startswith(n, F.concat(key, F.lit(" "))) & F.regexp_like(_c(line), begin) & ~rest.rlike("[:：]") & (rest != ""), rest)
 
 
 def splice(text: Column | str, start: Column, end: Column, new: Column) -> Column:

@@ -83,24 +83,54 @@ def best_matches(slots: DataFrame, fields: DataFrame, cutoff: float = LABEL_CUTO
     return slots.join(best, ["doc_id", "slot_ix"], "left")
 
 
-def fill_slots(inline: DataFrame, bare: DataFrame, known: DataFrame, fields: DataFrame) -> DataFrame:
+def leading_fields(lines: DataFrame, fields: DataFrame, used: DataFrame) -> DataFrame:
+    """(doc_id, slot_ix, key): the field whose own label begins each line without a colon; lines that none begins are left out.
+
+    A line takes the first field not in ``used`` (doc_id, key) nor taken in a paragraph before; of the lines of one
+    paragraph (doc_id, para_ix) that take the same field the last has it. The choice depends on all earlier ones of a
+    document, hence one fold a document over its lines.
+    """
+    left = fields.withColumn("key", T.normalize("label")).join(used, ["doc_id", "key"], "left_anti").select("doc_id", "field_ix", "key", F.col("label").alias("_own"))
+    begun = lines.select("doc_id", "para_ix", "slot_ix", "label").join(left, "doc_id").where(T.leading_label("label", "_own").isNotNull())
+    line = begun.groupBy("doc_id", "para_ix", "slot_ix").agg(F.array_sort(F.collect_set(F.struct("field_ix", "key"))).alias("k"))
+    paragraph = line.groupBy("doc_id", "para_ix").agg(F.collect_list(F.struct(F.col("slot_ix").cast("bigint").alias("slot_ix"), F.transform("k", lambda x: x["key"]).alias("keys"))).alias("l"))
+    taken = """
+        aggregate(p, cast(array() as array<struct<slot_ix: bigint, key: string>>), (acc, x) -> concat(acc,
+            transform(array(transform(x.l, y -> named_struct('slot_ix', y.slot_ix, 'key', get(filter(y.keys, k -> NOT exists(acc, z -> z.key = k)), 0)))),
+                h -> filter(h, y -> y.key IS NOT NULL AND NOT exists(h, z -> z.key <=> y.key AND z.slot_ix > y.slot_ix)))[0]))
+    """
+    docs = paragraph.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("para_ix", "l"))).alias("p"))
+    return docs.select("doc_id", F.inline(F.expr(taken)))
+
+
+def fill_slots(inline: DataFrame, bare: DataFrame, known: DataFrame, fields: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     """(doc_id, pass, slot_ix, label, key, new_value, action) of a template's header slots.
 
-    Passes in order: slots 'label: value' are filled or cleared, and may share a field; bare labels are filled with fields
-    not used so far, kept if theirs is used, cleared if they have none; labels known without a colon are filled or cleared.
+    Passes in order: slots 'label: value' are filled or cleared, and may share a field; lines 'label value' (as ``label``,
+    with ``para_ix``) that a field not used so far begins are filled, others kept; bare labels are filled with fields not
+    used so far, kept if theirs is used, by an earlier slot of theirs too, and cleared if they have none; labels known
+    without a colon are filled or cleared. ``slot_ix`` is the order in the document.
     """
 
     def act(slots: DataFrame, k: int, used: DataFrame | None) -> DataFrame:
         m = best_matches(slots, fields)
+        taken = F.lit(False)
         if used is not None:
             m = m.join(used.withColumn("_used", F.lit(True)), ["doc_id", "key"], "left")
-        taken = F.coalesce(F.col("_used"), F.lit(False)) if used is not None else F.lit(False)
+            taken = F.coalesce(F.col("_used"), F.lit(False)) | (F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("slot_ix")) > 1)
         action = F.when(F.col("key").isNull(), "clear").when(taken, "keep").otherwise("fill")
-        return m.select("doc_id", F.lit(k).alias("pass"), "slot_ix", "label", "key", F.when(action == "fill", F.col("value")).when(action == "clear", "").alias("new_value"), action.alias("action"))
-
-    first = act(inline, 1, None)
-    used = first.where("action = 'fill'").select("doc_id", "key").distinct()
-    return first.unionByName(act(bare, 3, used)).unionByName(act(known, 4, None))
+        m = m.withColumn("action", action)
+        new = F.when(F.col("action") == "fill", F.col("value")).when(F.col("action") == "clear", "")
+        return m.select("doc_id", F.lit(k).alias("pass"), "slot_ix", "label", "key", new.alias("new_value"), "action")
+
+    done = act(inline, 1, None)
+    taken = lambda d: d.where("action = 'fill'").select("doc_id", "key").distinct()
+    if lines is not None:
+        values = candidates(fields).select("doc_id", "key", "value")
+        begun = leading_fields(lines, fields, taken(done)).join(values, ["doc_id", "key"])
+        action = F.when(F.col("key").isNull(), "keep").otherwise("fill")
+        done = done.unionByName(lines.select("doc_id", "slot_ix", "label").join(begun, ["doc_id", "slot_ix"], "left").select("doc_id", F.lit(2).alias("pass"), "slot_ix", "label", "key", F.col("value").alias("new_value"), action.alias("action")))
+    return done.unionByName(act(bare, 3, taken(done))).unionByName(act(known, 4, None))
 
 
 def unused_fields(filled: DataFrame, fields: DataFrame, pairs_per_row: int = 1) -> DataFrame:

@@ -13,6 +13,8 @@ from waybill.session import read_table
 
 # Header slots of a template, a row of results each.
 SLOTS = ("Product Name", "Batch Number", "Mfg Date", "Date of Expiry", "Retest Date", "Net weight", "Test Date", "Lot#", "Formula Weight", "Storage Condition")
+# The template's lines without a colon.
+TEMPLATE_LINES = ("Quantity 185.00 KG", "Manufacturer  Old Works Ltd", "Country of Origin India", "CAS Number 50-78-2", "Quantity 12 drums", "Grade: USP")
 TEMPLATE_ROWS = (("Appearance", "White powder"), ("Identification", "Complies"), ("Related substances", "Impurity B<0.10%"), ("Related substances", "Impurity C<0.10%"), ("Assay", "98.0 - 102.0"), ("Loss on drying", "NMT 0.5%"), ("Residue on ignition", "NMT 0.1%"), ("Heavy metals", "NMT 10 ppm"))
 # Formulas of the shipping sheet.
 FORMULAS = {"B16": "=$B$8", "B22": "=B12", "A26": "=B14", "C11": "=B9*B10", "A27": '=IF(A6="Air Shipment","AWB:","BL Telex Release:")', "C33": '=IF($B$12="China","CCPIT","CoC")', "B38": '="Origin: "&B12', "D9": "=-(B9+1)/2", "D10": "=SUM(B9)", "D11": "=B8*2"}
@@ -200,11 +202,22 @@ def ref_best_matches(spark, d):
     return matching.best_matches(slots, fields).select("doc_id", "slot_ix", "key", "value", "tier")
 
 
+def _filled(fields: DataFrame) -> DataFrame:
+    """The header slots of a template of all four kinds, filled: with colon, lines without one, bare labels (one twice), known labels."""
+    docs = fields.select("doc_id").distinct()
+    slots = docs.select("doc_id", F.posexplode(F.array(*[F.lit(x) for x in SLOTS])).alias("slot_ix", "label"))
+    lines = docs.select("doc_id", F.posexplode(F.array(*[F.lit(x) for x in TEMPLATE_LINES])).alias("para_ix", "label")).withColumn("slot_ix", F.col("para_ix") + len(SLOTS))
+    again = docs.select("doc_id", F.lit(len(SLOTS) + len(TEMPLATE_LINES)).alias("slot_ix"), F.lit("Net wt.").alias("label"))
+    return matching.fill_slots(slots.where("slot_ix < 5"), slots.where("slot_ix BETWEEN 5 AND 7").unionByName(again), slots.where("slot_ix > 7"), fields, lines)
+
+
+def ref_slot_actions(spark, d):
+    return _filled(_fields(spark, d))
+
+
 def ref_unused_fields(spark, d):
     fields = _fields(spark, d)
-    slots = fields.select("doc_id").distinct().select("doc_id", F.posexplode(F.array(*[F.lit(x) for x in SLOTS])).alias("slot_ix", "label"))
-    filled = matching.fill_slots(slots.where("slot_ix < 5"), slots.where("slot_ix BETWEEN 5 AND 7"), slots.where("slot_ix > 7"), fields)
-    return matching.unused_fields(filled, fields, 2)
+    return matching.unused_fields(_filled(fields), fields, 2)
 
 
 def ref_date_actions(spark, d):
