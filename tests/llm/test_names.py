@@ -68,3 +68,20 @@ def test_links_and_edges(spark):
     assert all(len(g) == 1 for g in groups) and len(set().union(*groups)) == 4
     assert pairs_of_names(got).count() == 28 + 1 + 1
     assert link_names(spark.createDataFrame([], "name string")).count() == 0
+
+
+def test_short_names_initials_and_other_scripts(spark):
+    groups = [
+        ["Dami Rogu Trading", "Damo Rogu Trading LLC", "Rogu Dami Trading"], ["Dami Rogu Laboratories"],
+        ["K. Bagikami Dorime Biotechnology", "K. Bagikami Doreme Biotechnology"], ["M. Bagikamo Dorima Biotechnology"],
+        ["Терлюмин Варкоста Trading", "Терлюмин Варкаста Trading"], ["Гумиропек Лафаторин Trading"], ["北京博康 Trading"], ["南京博康 Trading"],
+        ["Tivelo Sorbanek Wugimar Trading", "Wugimar Trading"],
+    ]
+    found = {r["name"]: r["entity"] for r in link_names(spark.createDataFrame([(x,) for g in groups for x in g], "name string")).collect()}
+    assert [len({found[x] for x in g}) for g in groups] == [1] * len(groups)
+    assert len(set(found.values())) == len(groups)
+
+
+def test_distances_of_letters_beyond_latin():
+    assert distances("гумир", *encode(["гумир", "гумар", "лафат", "ab"])).tolist() == [0, 1, 5, 5]
+    assert distances("ab", *encode(["гб", "ab"])).tolist() == [2, 0]

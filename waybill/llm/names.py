@@ -115,15 +115,19 @@ def take_apart(name: str) -> Parts:
             if folded and folded not in ("and", "of", "the"):
                 words.append(folded)
                 raw.append(letters_of(w))
+    if not words:  # another script: its letters as they are
+        words = raw = re.findall(r"[^\W\d_a-z]+", text)
     return Parts(tuple(words), tuple(raw), business, form)
 
 
 def encode(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(letters, lengths): strings as rows of small integers, padded with 0."""
     lengths = np.array([len(s) for s in strings], dtype=np.int64)
-    out = np.zeros((len(strings), max(1, int(lengths.max(initial=0)))), dtype=np.uint8)
+    wide = any(c > "\xff" for s in strings for c in s) if not all(map(str.isascii, strings)) else False
+    kind, coding = (np.uint32, "utf-32-le") if wide else (np.uint8, "latin-1")
+    out = np.zeros((len(strings), max(1, int(lengths.max(initial=0)))), dtype=kind)
     for i, s in enumerate(strings):
-        out[i, : len(s)] = np.frombuffer(s.encode("latin-1", "replace"), dtype=np.uint8)
+        out[i, : len(s)] = np.frombuffer(s.encode(coding), dtype=kind)
     return out, lengths
 
 
@@ -136,11 +140,11 @@ def distances(one: str, letters: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     n, m, many = len(one), letters.shape[1], len(letters)
     if many == 0:
         return np.zeros(0, dtype=np.int16)
-    code = one.encode("latin-1", "replace")
+    code = [ord(c) for c in one]
     kind, most, far = (np.uint8, 0xFF, 120) if n + m < 100 else (np.uint16, 0xFFFF, 30_000)
     columns = np.ascontiguousarray(letters.T)
     # by letter of ``one``: all bits where a column has another letter, so that an "or" makes a value too large to count
-    other = {c: (columns != c).astype(kind) * kind(most) for c in set(code)}
+    other = {c: (columns != (c if c < 256 else np.uint32(c))).astype(kind) * kind(most) for c in set(code)}
     one_more = {c: o & kind(1) for c, o in other.items()}
     above = np.repeat(np.arange(m + 1, dtype=kind)[:, None], many, axis=1)
     before_above = np.full_like(above, far)
@@ -258,6 +262,8 @@ def link_names(names: DataFrame, name: str = "name") -> DataFrame:
 
     Nulls, empty and blank names give no rows; repeated names one row; ties between full names that a partial name could
     mean leave it alone; very long names are read whole; an empty table gives an empty result; other columns are left out.
+    Names without a-z letters are compared by the letters of their script. A name with less than two own words of three
+    letters, or fewer than ``LEAST_FULL`` letters in Han, Kana or Hangul, is compared by equality and as a partial name only.
     """
     distinct = names.select(F.col(name).cast("string").alias("name")).where(F.col("name").rlike(r"(?U)\S")).distinct()
 
@@ -273,24 +279,30 @@ def link_names(names: DataFrame, name: str = "name") -> DataFrame:
     full = (F.length("s") >= LEAST_FULL) & (F.size("initials") == 0)
     # names of equal own words, read in either order, are one node; the rest are nodes by all they say
     node = F.when(full, F.xxhash64(F.lit("full"), "s", "business")).otherwise(F.xxhash64(F.lit("part"), "long", "initials", "business", "form"))
-    taken = cut(taken.withColumn("full", full).withColumn("id", node))
+    # other names of two own words are points too, with their initials and business as part of what is compared
+    paired = ~full & (F.size("long") >= 2) & ~F.col("s").rlike(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]")
+    taken = cut(taken.withColumn("full", full).withColumn("point", full | paired).withColumn("id", node))
     nodes = taken.select("id").distinct()
-    fulls = taken.where("full").select("id", "s", "long", "raw", "business", "form")
+    fulls = taken.where("point").select("id", "s", "long", "initials", "raw", "business", "form", "full")
     # points of a name: its own words joined as given, folded and as written; two words also in the other order, unless
     # they clearly stand longer word first, which then is the order in which the others are turned to meet them
     second, first = F.get("long", F.lit(1)), F.get("long", F.lit(0))
     turn = (F.size("long") == 2) & (F.length(first) < F.length(second) + 2)
     turned, as_written = F.when(turn, F.concat(second, first)), F.concat_ws("", "raw")
     written_turned = F.when(turn & (F.size("raw") == 2), F.concat(F.get("raw", F.lit(1)), F.get("raw", F.lit(0))))
-    points = fulls.select("id", F.explode(F.array_distinct(F.filter(F.array("s", turned, as_written, written_turned), lambda x: x.isNotNull()))).alias("s"))
+    spelled = F.filter(F.array("s", turned, as_written, written_turned), lambda x: x.isNotNull())
+    said = F.concat(F.lit("|"), F.concat_ws(" ", "initials"), F.lit("|"), "business")
+    # the shortest full names also meet those a letter shorter
+    short = F.when(F.col("full") & (F.length("s") > LEAST_FULL), F.array().cast("array<string>")).otherwise(F.transform(spelled, lambda x: F.concat(x, said)))
+    points = fulls.select("id", F.explode(F.array_distinct(F.concat(F.when(F.col("full"), spelled).otherwise(F.array().cast("array<string>")), short))).alias("s"))
     says = lambda a, b: (a == "") | (b == "") | (a == b)
     line = fulls.select("id", "business").distinct()
     links = metric_join(points).join(line.select(F.col("id").alias("a"), F.col("business").alias("of_a")), "a").join(line.select(F.col("id").alias("b"), F.col("business").alias("of_b")), "b")
     entities = cut(connected_components(nodes, links.where(says(F.col("of_a"), F.col("of_b"))).select("a", "b")))
-    if_full = cut(fulls.join(entities, "id").select("component", "long", "business", "form").distinct())
+    if_full = cut(fulls.where(F.size("initials") == 0).join(entities, "id").select("component", "long", "business", "form").distinct())
 
     # partial names: the own word they have meets a word of a full name, and whatever else they say agrees
-    heads = if_full.where(F.size("long") == 2).select("component", "business", "form", F.posexplode("long").alias("at", "word"), "long").withColumn("other", F.get("long", 1 - F.col("at")))
+    heads = if_full.where(F.size("long") >= 2).select("component", "business", "form", F.posexplode("long").alias("at", "word"), "long").withColumn("others", F.expr("filter(long, (w, i) -> i <> at)"))
     some = taken.where(~F.col("full")).where(F.size("long") == 1).select("id", F.get("long", F.lit(0)).alias("word"), F.get("initials", F.lit(0)).alias("initial"), "business", "form").distinct()
     words = heads.select("word").unionByName(some.select("word")).distinct().withColumn("id", F.xxhash64("word"))
     close = metric_join(words.select("id", F.col("word").alias("s")))
@@ -298,8 +310,8 @@ def link_names(names: DataFrame, name: str = "name") -> DataFrame:
     meant = (
         some.withColumn("a", F.xxhash64("word"))
         .join(near, "a")
-        .join(heads.select("component", F.col("business").alias("b2"), F.col("form").alias("f2"), "other", F.xxhash64("word").alias("b")), "b")
-        .where(says(F.col("business"), F.col("b2")) & says(F.col("form"), F.col("f2")) & (F.col("initial").isNull() | F.col("other").startswith(F.col("initial"))))
+        .join(heads.select("component", F.col("business").alias("b2"), F.col("form").alias("f2"), "others", F.xxhash64("word").alias("b")), "b")
+        .where(says(F.col("business"), F.col("b2")) & says(F.col("form"), F.col("f2")) & (F.col("initial").isNull() | F.exists("others", lambda w: w.startswith(F.col("initial")))))
         .withColumn("distance", F.when(F.col("a") == F.col("b"), 0).otherwise(1))
     )
     # the nearest spelling decides; if it is several organisations', a word that agrees in the legal form as well
