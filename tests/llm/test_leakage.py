@@ -60,3 +60,11 @@ def test_passages_spans_and_edges(spark):
 
 def test_items_without_phrases():
     assert Items.of([]).phrases.shape[0] == 0
+
+
+def test_short_items_and_passages_with_few_words_intact(spark):
+    item = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(40)]
+    changed = [f"x{w}" if k % 4 == 3 and k != 19 else w for k, w in enumerate(item)]
+    items = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "one two three four five six"), (3, " ".join(item))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "say alpha beta gamma delta now"), (2, "one two three four five six"), (3, "one two three four five seven"), (4, "before " + " ".join(changed) + " after")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"], r["item_start"], r["item_end"]) for r in find_passages(docs, items).collect()) == [(1, 1, 0, 4), (2, 2, 0, 6), (4, 3, 0, 39)]

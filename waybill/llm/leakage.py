@@ -30,12 +30,8 @@ PHRASE = 4
 SAMPLE = 8
 #: Words of a shard.
 SHARD = 1 << 18
-#: Words of an item that phrases must cover before an alignment is tried.
-COVERED = 7
-#: Share of the shortest passage that phrases without a change must cover; with every eighth word changed they cover three quarters.
-INTACT = 0.4
-#: Words that a passage may drop or add between phrases that count together.
-BAND = 12
+#: Least score of a passage; of shorter items every word must match.
+LEAST_SCORE = 7
 
 _INVISIBLE = "­​‌‍⁠﻿"
 WORD = re.compile(rf"[^\W_]+(?:(?:[{_INVISIBLE}]+(?:-\n)?|-\n(?=[^\W\d_])|['’])[^\W_]+)*", re.U)
@@ -201,21 +197,6 @@ def aligned(item: np.ndarray, text: np.ndarray) -> tuple[float, int, int, int, i
     return score, i - back_i, i, j - back_j, j
 
 
-def _one_band(diagonals: np.ndarray, places: np.ndarray, need: int) -> bool:
-    """Whether phrases on nearly one diagonal cover so many words: those of a passage do, but for the words it drops or adds."""
-    order = np.argsort(diagonals, kind="stable")
-    d, at = diagonals[order].tolist(), places[order].tolist()
-    for i in range(len(d)):
-        words: set[int] = set()
-        for k in range(i, len(d)):
-            if d[k] - d[i] > BAND:
-                break
-            words.update(range(at[k], at[k] + PHRASE))
-            if len(words) >= need:
-                return True
-    return False
-
-
 def _search_shard(texts: list[list[int]], items: Items, share: float) -> Iterator[tuple[int, int, int, int, int, int]]:
     """(document's place in the shard, item's place, item start, item end, first word, word after) of each passage."""
     symbols, token_of, doc_of = [], [], []
@@ -248,27 +229,21 @@ def _search_shard(texts: list[list[int]], items: Items, share: float) -> Iterato
     hit = hit[np.lexsort((hit[:, 2], hit[:, 1], hit[:, 0]))]
     group = np.flatnonzero(np.r_[True, (hit[1:, 0] != hit[:-1, 0]) | (hit[1:, 1] != hit[:-1, 1])])
     for s, e in zip(group, np.r_[group[1:], len(hit)], strict=True):
-        if e - s < COVERED - PHRASE + 1:
-            continue
         d, i = int(hit[s, 0]), int(hit[s, 1])
         item = items.words[i]
-        n, least = len(item), share * len(item)
+        n, least, enough = len(item), share * len(item), min(LEAST_SCORE, len(item))
         # hits that can belong to one passage: apart by less than the item is long
         cut = np.flatnonzero(np.diff(hit[s:e, 2]) > n) + 1
         for a, b in zip(np.r_[0, cut], np.r_[cut, e - s], strict=True):
-            if b - a < COVERED - PHRASE + 1:
-                continue
             part = hit[s + a : s + b]
-            if not _one_band(part[:, 2] - part[:, 3], part[:, 3], max(COVERED, int(INTACT * least))):
-                continue
             own = np.array(texts[d], dtype=np.int64)
             todo = [(max(0, int(part[0, 2]) - n), min(len(own), int(part[-1, 2]) + n + PHRASE))]
             while todo:
                 x, y = todo.pop()
-                if y - x < COVERED:
+                if y - x < enough:
                     continue
                 score, i0, i1, j0, j1 = aligned(item, own[x:y])
-                if i1 - i0 < least or score < max(COVERED, 0.45 * (i1 - i0)):
+                if i1 - i0 < least or score < max(enough, 0.45 * (i1 - i0)):
                     continue
                 yield d, i, i0, i1, x + j0, x + j1
                 todo += [(x, x + j0), (x + j1, y)]  # the same item may be there again
@@ -278,7 +253,7 @@ def find_passages(documents: DataFrame, items: DataFrame, share: float = 0.25, l
     """(doc_id, item_id, item_start, item_end, start, end): every passage of an item in a document.
 
     A passage covers at least ``share`` of the item's words in order, small changes of wording and any of typography
-    aside; ``item_start`` and ``item_end`` count words, ``start`` and ``end`` characters of the text.
+    aside, and has ``PHRASE`` words in a row unchanged, without which it is not found; ``item_start`` and ``item_end`` count words, ``start`` and ``end`` characters of the text.
 
     Null and empty texts and items of fewer than ``PHRASE`` words give nothing; very long texts are read whole, in one
     shard of their own; an item that stands in a document twice gives two rows; repeated documents give repeated rows;
