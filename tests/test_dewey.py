@@ -1,6 +1,6 @@
 import json
 
-from waybill.operators.dewey import flatten_json, flatten_typed, parent_of, tables
+from waybill.operators.dewey import child_table, flatten_json, flatten_typed, parent_of, tables
 
 TREE = {"items": {"batches": {}}}
 ANSWER = {"header_fields": {}, "test_results": {"sub_items": {"runs": {}}}}
@@ -27,6 +27,18 @@ def test_wrappers_encodings_and_lone_objects(spark):
         assert {(p, q) for k, p, q in found if k == i} == expected
 
 
+def test_each_list_is_looked_for_on_its_own_and_encodings_have_no_cap(spark):
+    apart = json.dumps({"header_fields": [{"label": "x"}], "data": {"deep": [{"test_results": [{"parameter": "a"}], "header_fields": [{}]}]}})
+    assert paths(spark, [apart]) == {(0, "header_fields[0]", ""), (0, "test_results[0]", "")}
+    often = json.dumps({"header_fields": [{}]})
+    for _ in range(12):
+        often = json.dumps(often)
+    nested = {"test_results": {}}
+    for _ in range(100):
+        nested = {"data": nested}
+    assert paths(spark, [often, json.dumps(nested)]) == {(0, "header_fields[0]", ""), (1, "test_results[0]", "")}
+
+
 def test_unreadable_answers_give_nothing(spark):
     assert not paths(spark, [None, "", " ", "Error: timeout", '{"header_fields": [{"label": "x"}', "null", "[]", "{}", "7", '"text"'])
 
@@ -44,7 +56,18 @@ def test_typed_nodes_nulls_ties_and_clashing_names(spark):
     got = sorted((r["shipment_id"] or 0, r["node_path"], r["parent_path"]) for r in nodes.collect())
     one = [(1, "items[1]", ""), (1, "items[1].batches[0]", "items[1]"), (1, "items[1].batches[2]", "items[1]")]
     assert got == sorted([*one, *one, (0, "items[0]", "")])
-    assert {k: t.count() for k, t in tables(nodes, ["items", "items.batches"]).items()} == {"items": 3, "items.batches": 4}
+    typed = tables(nodes, "shipment_id", {"items": "name string", "items.batches": "no string"})
+    assert {k: t.count() for k, t in typed.items()} == {"items": 3, "items.batches": 4}
+    assert {r["name"] for r in typed["items"].collect()} == {"a", "c"}
+    child = child_table(spark.createDataFrame(rows, schema), "shipment_id", "items.batches")
+    assert child.columns == ["shipment_id", "node_path", "parent_path", "no"]
+    assert sorted((r["node_path"], r["no"] or "") for r in child.collect()) == sorted([("items[1].batches[0]", "b1"), ("items[1].batches[2]", "")] * 2)
+
+
+def test_child_tables_keep_fields_named_like_their_keys(spark):
+    df = spark.createDataFrame([(1, [("p", 2)])], "k long, items array<struct<node_path: string, k: int>>")
+    assert child_table(df, "k", "items").collect() == [(1, "items[0]", "", "p", 2)]
+    assert child_table(df, "k", "items").columns == ["k", "node_path", "parent_path", "field_node_path", "field_k"]
 
 
 def test_empty_tables(spark):

@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from waybill.operators.timestamps import normalise, normalise_timestamps, to_utc, zone_version
+from waybill.operators.timestamps import normalise, normalise_timestamps, to_utc, zone_tables, zone_version
 
 CASES = [
     ("2023-04-27", "UTC", "DMY", "2023-04-27"),
@@ -29,6 +29,11 @@ CASES = [
     ("2023-03-12 02:30:00", "America/Chicago", "MDY", "2023-03-12T08:30:00Z"),  # skipped: offset before
     ("2023-11-05 01:30:00", "America/Chicago", "MDY", "2023-11-05T06:30:00Z"),  # twice: the earlier
     ("Date: 8/4/2024 06:56 PM", "America/Chicago", "DMY", "2024-04-08T23:56:00Z"),
+    ("12 mai 2024 à 10:30", "Europe/Paris", "DMY", "2024-05-12T08:30:00Z"),
+    ("8/4/2024 6:56 p.m.", "America/Chicago", "MDY", "2024-08-04T23:56:00Z"),
+    (" " * 300 + "2024/05/06" + " " * 300, "UTC", "DMY", "2024-05-06"),
+    ("1 " * 50_000, "UTC", "DMY", None),
+    ("." * 100_000 + "2024", "UTC", "DMY", None),
     ("to follow", "UTC", "DMY", None),
     ("--/--/----", "UTC", "DMY", None),
     ("", "UTC", "DMY", None),
@@ -60,5 +65,9 @@ def test_operator_nulls_ties_extra_columns_long_texts(spark):
     assert normalise_timestamps(spark.createDataFrame([], "t string, z string, o string"), "t", "z", "o").count() == 0
 
 
-def test_tables_are_versioned():
-    assert zone_version()
+def test_tables_are_versioned(spark):
+    table = zone_tables(spark, ["Europe/Berlin", "UTC", "Nowhere/At_All"]).collect()
+    assert zone_version() and {r["version"] for r in table} == {zone_version()}
+    assert {r["zone"] for r in table} == {"Europe/Berlin", "UTC"}
+    rows = spark.createDataFrame([("2024-05-06",)], "t string").selectExpr("t", "'UTC' AS z", "'DMY' AS o")
+    assert normalise_timestamps(rows, "t", "z", "o", version="tables").first()["tables"] == zone_version()

@@ -2,24 +2,33 @@ from fractions import Fraction
 
 import pytest
 
-from waybill.operators.units import amount_of, item_amount, normalise_quantities, number, order_amount, segment
+from waybill.operators.units import amount_of, item_amount, measure, normalise_quantities, number, order_amount, segment
 
 KG, G, L = 10**9, 10**6, 10**6
 
 
 @pytest.mark.parametrize(
     ("text", "dim", "size"),
-    [("Kg.", "mass", KG), ("KGM", "mass", KG), ("kilo", "mass", KG), ("gr.", "mass", G), ("M/T", "mass", 10**12), ("mt", "mass", 10**12), ("ton (metric)", "mass", 10**12), ("mcg", "mass", 1), ("µg", "mass", 1), ("mL", "volume", 1000), ("cl", "volume", 10_000), ("cc", "volume", 1000), ("LTRS", "volume", L), ("pounds", "mass", 453_592_370), ("millilitre", "volume", 1000)],
-)
+    [("Kg.", "mass", KG), ("KGM", "mass", KG), ("kilo", "mass", KG), ("gr.", "mass", G), ("M/T", "mass", 10**12), ("mt", "mass", 10**12), ("ton (metric)", "mass", 10**12), ("mcg", "mass", 1), ("µg", "mass", 1), ("mL", "volume", 1000), ("cl", "volume", 10_000), ("cc", "volume", 1000), ("LTRS", "volume", L), ("pounds", "mass", 453_592_370), ("millilitre", "volume", 1000),
+     ("m³", "volume", 10**9), ("m^3", "volume", 10**9), ("cubic metre", "volume", 10**9), ("cu m", "volume", 10**9), ("cbm", "volume", 10**9), ("ccm", "volume", 1000), ("dm3", "volume", L), ("cubic centimetres", "volume", 1000), ("cu. in.", "volume", Fraction(254, 10_000) ** 3 * 10**9),
+     ("gal", "volume", Fraction(3_785_411_784, 1000)), ("imp. gal", "volume", 4_546_090), ("qt", "volume", Fraction(946_352_946, 1000)), ("fl oz", "volume", Fraction(3_785_411_784, 128_000)), ("cwt", "mass", 112 * 453_592_370), ("grains", "mass", Fraction(453_592_370, 7000)), ("dag", "mass", 10 * G), ("Mg", "mass", 1000), ("MG", "mass", 1000)],
+)
 def test_units(text, dim, size):
     assert segment(text) == (dim, Fraction(size))
 
 
-@pytest.mark.parametrize("text", ["", "drums", "vials", "x", "kgg g", "k" * 100])
+@pytest.mark.parametrize("text", ["", "drums", "vials", "x", "kgg g", "k" * 100, "m", "sq m", "ft", "k" * 100_000])
 def test_no_units(text):
     assert segment(text) is None
 
 
+def test_priors_of_the_field_decide_what_a_text_alone_does_not():
+    assert measure("mt") == ("mass", Fraction(10**12)) and measure("mt", "length") == ("length", Fraction(1))
+    assert measure("Mg") == ("mass", Fraction(1000)) and measure("Mg", "bulk") == ("mass", Fraction(10**12))
+    assert measure("mg", "bulk") == ("mass", Fraction(1000))
+    assert measure("cm2") == ("area", Fraction(1, 10_000))
+
+
 @pytest.mark.parametrize(
     ("text", "decimal", "value"),
     [("1,234.5", ".", "1234.5"), ("1.234,5", ",", "1234.5"), ("75,000", ".", "75000"), ("75,000", ",", "75"), ("75.000", ",", "75000"), ("5.000.000", ".", "5000000"), ("5,00,000.00", ".", "500000"), ("1'000", ".", "1000"), ("0.125", ",", "0.125"), ("1 803.92", ".", "1803.92")],
@@ -39,6 +48,13 @@ def test_sentences(text, amount):
     assert amount_of(text, ".") == ("mass", amount)
 
 
+def test_sentences_of_volumes_and_long_texts():
+    assert amount_of("2 drums of 3 cubic metres", ".") == ("volume", 6 * 10**9)
+    assert amount_of("4 m3", ".") == ("volume", 4 * 10**9)
+    assert amount_of("10 fl. oz", ".") == ("volume", 295_735)
+    assert amount_of(" " * 2000 + "5 kg" + " " * 2000, ".") == ("mass", 5 * KG)
+
+
 @pytest.mark.parametrize("text", ["4 BOX", "AS PER PACKING LIST", "-", "kg", "0 kg", "5 kg of 2 L"])
 def test_no_amounts(text):
     assert amount_of(text, ".") is None

@@ -6,7 +6,7 @@ without ordinals) form one table.
 
 Two entrances:
 
-* :func:`flatten_typed` for arrays of structs that Spark already types: JVM side only, one ``posexplode`` per level.
+* :func:`flatten_typed` for arrays of structs that Spark already types: JVM side only, one pass.
 * :func:`flatten_json` for answers kept as text, whose shape isn't known: ``mapInArrow``-style batches of a Python
   walk, since wrappers, double encoding, fences and lists written as numbered objects defeat a fixed schema.
 
@@ -20,8 +20,9 @@ import re
 from collections.abc import Iterator, Mapping
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A nesting specification: field name -> specification of the lists of objects inside it.
 Spec = Mapping[str, "Spec"]
@@ -31,8 +32,6 @@ NODE_SCHEMA = "node_path string, parent_path string, schema_path string, ordinal
 _FENCE = re.compile(r"^[^\[{\"]*```[A-Za-z]*\s*\n?(.*?)\n?\s*```", re.S)
 _NUMBERED = re.compile(r"\d+\Z")
 _STEP = re.compile(r"(?:^|\.)[^.\[\]]+\[\d+\]\Z")
-#: How often a text may hold another text that holds the answer.
-MAX_ENCODINGS = 8
 
 
 def parent_of(path: str) -> str:
@@ -41,12 +40,13 @@ def parent_of(path: str) -> str:
 
 
 def read_json(text: str | None):
-    """The value a text encodes, however often it was encoded or fenced; None if it can't be read whole."""
+    """The value a text encodes, however often it was encoded or fenced; None if it can't be read whole.
+
+    Each reading leaves a shorter text, so it ends.
+    """
     value = text
-    for _ in range(MAX_ENCODINGS):
-        if not isinstance(value, str):
-            return value
-        value = value.strip().lstrip("﻿").strip()
+    while isinstance(value, str):
+        value = value.strip().lstrip("\ufeff").strip()
         if fenced := _FENCE.match(value):
             value = fenced[1].strip()
         if not value or value[0] not in '[{"':
@@ -55,7 +55,7 @@ def read_json(text: str | None):
             value = json.loads(value, strict=False)
         except (ValueError, RecursionError):
             return None
-    return None
+    return value
 
 
 def _elements(value) -> list:
@@ -69,19 +69,29 @@ def _elements(value) -> list:
     return []
 
 
-def _records(value, spec: Spec, depth: int = 0) -> list[dict]:
-    """The outermost objects that have a field of the specification, in order, whatever wraps them."""
-    if isinstance(value, str):
-        value = read_json(value)
-    if depth > 64:
-        return []
-    if isinstance(value, dict):
-        if any(k in value for k in spec):
-            return [value]
-        return [r for v in value.values() if isinstance(v, (dict, list, str)) for r in _records(v, spec, depth + 1)]
-    if isinstance(value, list):
-        return [r for v in value if isinstance(v, (dict, list, str)) for r in _records(v, spec, depth + 1)]
-    return []
+def _lists(value, spec: Spec) -> dict[str, list]:
+    """By name of the specification, what stands under it in the outermost objects that have it, in order, whatever wraps them.
+
+    Each name is looked for on its own: an object that has some of the names is searched on for the others, but not
+    inside the lists that were found.
+    """
+    found: dict[str, list] = {name: [] for name in spec}
+    stack = [(value, tuple(spec))]
+    while stack:
+        value, wanted = stack.pop()
+        if isinstance(value, str):
+            value = read_json(value)
+        if isinstance(value, dict):
+            for name in wanted:
+                if name in value:
+                    found[name].append(value[name])
+            left = tuple(name for name in wanted if name not in value)
+            inside = [v for k, v in value.items() if k not in spec]
+        else:
+            left, inside = wanted, value if isinstance(value, list) else []
+        if left:
+            stack += [(v, left) for v in reversed(inside) if isinstance(v, (dict, list, str))]
+    return found
 
 
 def walk(value, spec: Spec) -> Iterator[tuple[str, str, list[int], dict]]:
@@ -90,11 +100,12 @@ def walk(value, spec: Spec) -> Iterator[tuple[str, str, list[int], dict]]:
     Several records in one answer continue each other's ordinals, so that labels stay unique.
     """
     stack = []
+    lists = _lists(value, spec)
     for name in reversed(list(spec)):
         at = 0
         found = []
-        for record in _records(value, spec):
-            for element in _elements(record.get(name)):
+        for held in lists[name]:
+            for element in _elements(held):
                 found.append((f"{name}[{at}]", name, [at], element, spec[name]))
                 at += 1
         stack.extend(reversed(found))
@@ -142,39 +153,62 @@ def flatten_json(df: DataFrame, key: str, column: str, spec: Spec, payload: bool
     return source.mapInPandas(run, f"_key {kind}, {NODE_SCHEMA}").withColumnRenamed("_key", key)
 
 
+def _own_fields(kind: StructType) -> list[str]:
+    return [f.name for f in kind.fields if f.dataType.typeName() not in ("array", "struct", "map")]
+
+
 def flatten_typed(df: DataFrame, key: str, spec: Spec, payload: bool = True) -> DataFrame:
     """As :func:`flatten_json`, for columns that are already arrays of structs; JVM expressions only.
 
-    One ``posexplode`` per level and branch; only the nested columns of the specification are read. Null arrays and
-    null elements give no row, elements keep their position, blank structs give a row.
+    The nodes of a row are built as one array, level in level, and exploded once, so the source is read once, and only
+    the nested columns of the specification. Null arrays and null elements give no row, elements keep their position,
+    blank structs give a row.
     """
-    out: DataFrame | None = None
-
-    def fields(kind) -> list[str]:
-        return [f.name for f in kind.fields if f.dataType.typeName() not in ("array", "struct", "map")]
-
-    def descend(frame: DataFrame, below: Spec, kind, prefix, schema_path: str) -> None:
-        nonlocal out
-        for name, deeper in below.items():
-            element = (kind[name].dataType).elementType
-            column = F.col(f"_node.`{name}`") if schema_path else F.col(f"_top_{name}")
-            level = frame.select("_key", prefix.alias("_prefix"), "_ordinals", F.posexplode(column).alias("_ix", "_node")).where("_node IS NOT NULL")
-            path = F.concat(F.when(F.col("_prefix") != "", F.concat("_prefix", F.lit("."))).otherwise(F.lit("")), F.lit(f"{name}["), F.col("_ix").cast("string"), F.lit("]"))
-            inner = f"{schema_path}.{name}" if schema_path else name
-            level = level.select("_key", path.alias("_path"), F.col("_prefix").alias("_parent"), F.concat("_ordinals", F.array("_ix")).alias("_ordinals"), "_node")
-            own = F.to_json(F.struct(*[F.col(f"_node.`{n}`") for n in fields(element)]), {"ignoreNullFields": "false"}) if payload and fields(element) else F.lit(None).cast("string")
-            rows = level.select("_key", F.col("_path").alias("node_path"), F.col("_parent").alias("parent_path"), F.lit(inner).alias("schema_path"), F.col("_ordinals").alias("ordinals"), own.alias("payload"))
-            out = rows if out is None else out.unionByName(rows)
-            if deeper:
-                descend(level, deeper, element, F.col("_path"), inner)
-
-    top = df.select(F.col(key).alias("_key"), F.expr("cast(array() as array<int>)").alias("_ordinals"), *[F.col(n).alias(f"_top_{n}") for n in spec])
-    descend(top, spec, df.schema, F.lit(""), "")
-    if out is None:
+    if not spec:
         raise ValueError("the specification names no list")
-    return out.withColumnRenamed("_key", key)
+    node_type = "array<struct<node_path:string,parent_path:string,schema_path:string,ordinals:array<int>,payload:string>>"
+    none = F.array().cast(node_type)
+
+    def nodes(column: Column, below: Spec, kind: StructType, name: str, parent: Column, ordinals: Column, schema_path: str) -> Column:
+        own = _own_fields(kind)
+
+        def node(x: Column, i: Column) -> Column:
+            path = F.concat(F.when(parent != "", F.concat(parent, F.lit("."))).otherwise(F.lit("")), F.lit(f"{name}["), i.cast("string"), F.lit("]"))
+            label = F.concat(ordinals, F.array(i.cast("int")))
+            held = F.to_json(F.struct(*[x[n].alias(n) for n in own]), {"ignoreNullFields": "false"}) if payload and own else F.lit(None).cast("string")
+            this = F.array(F.struct(path.alias("node_path"), parent.alias("parent_path"), F.lit(schema_path).alias("schema_path"), label.alias("ordinals"), held.alias("payload")))
+            deeper = [nodes(x[n], s, kind[n].dataType.elementType, n, path, label, f"{schema_path}.{n}") for n, s in below.items()]
+            return F.when(x.isNull(), none).otherwise(F.concat(this, *deeper))
+
+        return F.coalesce(F.flatten(F.transform(column, node)), none)
 
+    every = [nodes(F.col(f"_top.`{n}`"), s, df.schema[n].dataType.elementType, n, F.lit(""), F.array().cast("array<int>"), n) for n, s in spec.items()]
+    top = df.select(F.col(key).alias("_key"), F.struct(*[F.col(n) for n in spec]).alias("_top"))
+    return top.select("_key", F.inline(F.concat(*every) if len(every) > 1 else every[0])).withColumnRenamed("_key", key)
 
-def tables(nodes: DataFrame, schema_paths: list[str]) -> dict[str, DataFrame]:
-    """The nodes of each schema path as a table of its own; ``parent_path`` is the foreign key into the table above."""
-    return {p: nodes.where(F.col("schema_path") == p) for p in schema_paths}
+
+def child_table(df: DataFrame, key: str, schema_path: str) -> DataFrame:
+    """The table of one schema path of typed columns: ``key``, ``node_path``, ``parent_path`` and the objects' own fields, typed.
+
+    ``(key, node_path)`` identifies a row, ``(key, parent_path)`` points to its row in the table above. Null arrays and
+    elements give no row; fields named like the three keys get the prefix ``field_``.
+    """
+    kind, path, frame = df.schema, F.lit(""), df.select(F.col(key).alias("_key"), F.struct(*[F.col(schema_path.split(".")[0])]).alias("_node"))
+    for depth, name in enumerate(schema_path.split(".")):
+        kind = kind[name].dataType.elementType
+        frame = frame.select("_key", *(["_path"] if depth else []), F.posexplode(F.col(f"_node.`{name}`")).alias("_ix", "_node")).where("_node IS NOT NULL")
+        parent = F.col("_path") if depth else F.lit("")
+        path = F.concat(*([parent, F.lit(".")] if depth else []), F.lit(f"{name}["), F.col("_ix").cast("string"), F.lit("]"))
+        frame = frame.select("_key", path.alias("_path"), parent.alias("_parent"), "_node")
+    taken = {key, "node_path", "parent_path"}
+    own = [F.col(f"_node.`{n}`").alias(f"field_{n}" if n in taken else n) for n in _own_fields(kind)]
+    return frame.select(F.col("_key").alias(key), F.col("_path").alias("node_path"), F.col("_parent").alias("parent_path"), *own)
+
+
+def tables(nodes: DataFrame, key: str, columns: Mapping[str, str]) -> dict[str, DataFrame]:
+    """The nodes of each schema path (with its own fields as a DDL string) as a typed table of its own.
+
+    For nodes of :func:`flatten_json` with payload: values that don't fit their type are null, fields that the DDL
+    doesn't name are left out.
+    """
+    return {p: nodes.where(F.col("schema_path") == p).select(key, "node_path", "parent_path", F.from_json("payload", ddl).alias("_own")).select(key, "node_path", "parent_path", "_own.*") for p, ddl in columns.items()}

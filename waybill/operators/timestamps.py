@@ -17,11 +17,12 @@ import unicodedata
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
 from functools import lru_cache
-from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
+from pathlib import Path
+from zoneinfo import TZPATH, ZoneInfo, ZoneInfoNotFoundError
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -61,8 +62,13 @@ ABBREVIATIONS = {
     "Australia/": {"aest": 600, "aedt": 660, "acst": 570, "acdt": 630, "awst": 480},
 }
 # Words around a date that say nothing about it.
-FILLERS = frozenset("date dated dt at on of de del the orig original um le el den uhr hrs h st nd rd th er º ª local time o clock".split())
-HALVES = {"am": 0, "pm": 12, "a.m.": 0, "p.m.": 12}
+FILLERS = frozenset("date dated dt at on of de del the orig original um le el den uhr hrs h st nd rd th er º ª local time o clock à a às a las alle ore kl saat в".split())
+HALVES = {"am": 0, "pm": 12}
+#: A half of the day written with stops or blanks.
+_HALF = re.compile(r"(?<![^\W_])([AaPp])\.\s?([Mm])(?![^\W_])\.?")
+#: No printed date and time holds more numbers; masks longer than MEMO signs aren't kept.
+MOST_NUMBERS = 12
+MEMO = 256
 
 _TOKEN = re.compile(r"\d+|[^\W\d_]+(?:[/_+-](?=[A-Z])[^\W\d_]+)*|年|月|日|\s+|.", re.S)
 _EPOCH = datetime(1970, 1, 1)
@@ -96,7 +102,12 @@ def _bare(text: str) -> str:
 
 @lru_cache(1)
 def zone_version() -> str:
-    """Version of the zone database behind :func:`transitions`."""
+    """Version of the zone database behind :func:`transitions`: the system's, else the package's."""
+    for folder in TZPATH:
+        table = Path(folder, "tzdata.zi")
+        if table.exists():
+            with table.open() as lines:
+                return lines.readline().removeprefix("# version").strip()
     try:
         import tzdata
 
@@ -155,7 +166,7 @@ def abbreviation_offset(word: str, zone: str | None) -> int | None:
 
 
 def tokens_of(text: str) -> list[str]:
-    return _TOKEN.findall(text)
+    return _TOKEN.findall(_HALF.sub(r"\1\2", text))
 
 
 def _word_class(word: str) -> str:
@@ -199,9 +210,13 @@ class Parser:
         self.kind, self.fields, self.numeric, self.zone, self.sign = kind, fields, numeric, zone, sign
 
 
-@lru_cache(65_536)
 def parser_for(mask: str, count: int) -> Parser | None:
-    """The parser of a mask of ``count`` tokens, None if such a text is no date. Called once per distinct mask."""
+    """The parser of a mask of ``count`` tokens, None if such a text is no date. Worked out once per distinct mask."""
+    return _parser_for(mask, count) if len(mask) <= MEMO else _parser_for.__wrapped__(mask, count)
+
+
+@lru_cache(65_536)
+def _parser_for(mask: str, count: int) -> Parser | None:
     signs = []  # (sign, token index)
     k, at = 0, 0
     while at < len(mask):
@@ -226,12 +241,11 @@ def parser_for(mask: str, count: int) -> Parser | None:
 
     # what stands before and after: fillers, blanks, brackets and stops
     lead = re.match(r"(?:[F .,:;(\[]|X(?=[ .]*:))*", chars).end()
-    chars_end = len(chars) - re.search(r"(?:[ .;,*]|\(\W*(?:F|X)\.?\W*\))*$", chars).span()[0]
-    stop = len(chars) - chars_end
+    stop = len(chars) - re.match(r"(?:[ .;,*]|\)\W*(?:F|X)\W*\()*", chars[::-1]).end()
     core = chars[lead:stop]
     ix = lambda j: index[lead + j]
     size = lambda j: length[lead + j]
-    if not core or "9" not in core or "X" in core:
+    if not core or "9" not in core or "X" in core or core.count("9") > MOST_NUMBERS:
         return None
 
     # a number alone
@@ -482,7 +496,7 @@ def normalise(texts: list[str | None], zones: list[str | None], orders: list[str
     out: list[str | None] = [None] * len(texts)
     groups: dict[tuple[str, int], list[tuple[int, list[str]]]] = {}
     for i, text in enumerate(texts):
-        if text and len(text) <= 200 and (text := text.strip()):
+        if text and (text := text.strip()):
             tokens = tokens_of(unicodedata.normalize("NFKC", text))
             groups.setdefault((mask_of(tokens), len(tokens)), []).append((i, tokens))
     zone_array, order_array = np.array(zones, dtype=object), np.array([o or "" for o in orders])
@@ -501,11 +515,21 @@ def normalise(texts: list[str | None], zones: list[str | None], orders: list[str
     return out
 
 
-def normalise_timestamps(df: DataFrame, text: str, zone: str, order: str, into: str = "norm") -> DataFrame:
+def zone_tables(spark: SparkSession, zones: list[str]) -> DataFrame:
+    """(zone, version, at, offset): the tables behind the conversion, a row for each change of each known zone.
+
+    ``at`` is the UTC second of the change, null for the offset before the first; ``version`` is that of the database.
+    """
+    rows = [(z, zone_version(), *x) for z in sorted(set(zones)) if (t := transitions(z)) for x in zip([None, *t[0].tolist()], t[2].tolist(), strict=True)]
+    return spark.createDataFrame(rows, "zone string, version string, at long, offset long")
+
+
+def normalise_timestamps(df: DataFrame, text: str, zone: str, order: str, into: str = "norm", version: str | None = None) -> DataFrame:
     """Add ``into``, the unambiguous form of the column ``text``; see :func:`normalise`.
 
-    ``zone`` names the column with the site's zone, ``order`` that with its usual order of all-numeric dates.
-    Nulls, empty and blank texts, texts of over 200 characters and what denotes no real date give null. A local time
+    ``zone`` names the column with the site's zone, ``order`` that with its usual order of all-numeric dates, ``version``
+    a column to add with the version of the zone tables (none if not asked for).
+    Nulls, empty and blank texts and what denotes no real date, however long, give null. A local time
     that occurs twice means the earlier instant; a skipped one is read with the offset before the change. A null or
     unknown zone makes local times null, but not dates; a null order counts as day first. Ties don't arise: equal rows
     give equal results, none is dropped. An existing column ``into`` is replaced, others pass through.
@@ -517,4 +541,5 @@ def normalise_timestamps(df: DataFrame, text: str, zone: str, order: str, into:
             none = lambda s: s.astype(object).where(s.notna(), None).tolist()
             yield pd.Series(normalise(none(t), none(z), none(o)), dtype=object)
 
-    return df.withColumn(into, run(F.col(text).cast("string"), F.col(zone).cast("string"), F.col(order).cast("string")))
+    out = df.withColumn(into, run(F.col(text).cast("string"), F.col(zone).cast("string"), F.col(order).cast("string")))
+    return out.withColumn(version, F.lit(zone_version())) if version else out

@@ -1,10 +1,11 @@
 """Quantities in many units and notations, brought to micrograms and microlitres.
 
 A unit string is segmented by dynamic programming over tries: one of prefixes (``k``, ``milli`` ...), one of roots
-(``g``, ``litre``, ``lb`` ...) and one of endings and exponents (plural ``s``, ``²``, ``cubic`` ...). Ambiguous
-decompositions (``mt``: milli-tonne or metric ton, ``m``: metre or milli-) are scored by the roots' costs and by a prior
-on the dimension a field has. Sentences about amounts (``20 DRUMS OF 5 kg NET EACH``) are read by a small grammar over
-the numbers and units found in them; numbers follow the site's decimal mark. Arithmetic is exact (fractions).
+(``g``, ``litre``, ``lb``, ``m`` ...) and one of exponents, which stand before (``cubic``, ``cu``) or after (``3``, ``³``)
+a root of length, besides plural endings. Ambiguous decompositions (``mt``: metric ton or metre, ``gr``: gram or grain,
+``Mg``: milligram or megagram) are scored by the costs of their parts and by a prior on the dimension and the scale that
+a field has. Sentences about amounts (``20 DRUMS OF 5 kg NET EACH``) are read by a small grammar over the numbers and
+units found in them; numbers follow the site's decimal mark. Arithmetic is exact (fractions).
 
 The operator is one narrow Arrow-batched stage with a bounded memo per worker; no shuffle.
 """
@@ -13,18 +14,20 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from fractions import Fraction
-from functools import lru_cache
+from functools import lru_cache, wraps
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Prefixes and their powers of ten; long ones go with long roots, short ones with short roots.
-LONG_PREFIXES = {"micro": -6, "milli": -3, "centi": -2, "deci": -1, "deca": 1, "hecto": 2, "kilo": 3, "mega": 6}
-SHORT_PREFIXES = {"u": -6, "µ": -6, "mc": -6, "m": -3, "c": -2, "d": -1, "h": 2, "k": 3}
-# Roots as (dimension, size in micrograms or microlitres, cost of reading a text so).
+LONG_PREFIXES = {"micro": -6, "milli": -3, "centi": -2, "deci": -1, "deca": 1, "deka": 1, "hecto": 2, "kilo": 3, "mega": 6}
+SHORT_PREFIXES = {"u": -6, "µ": -6, "mc": -6, "m": -3, "c": -2, "d": -1, "da": 1, "h": 2, "k": 3}
+#: Prefixes that only a capital letter can mean.
+CAPITAL_PREFIXES = {"M": 6}
+# Roots as (dimension, size in micrograms, microlitres or metres, cost of reading a text so).
 LONG_ROOTS = {
     "gram": ("mass", 10**6, 0), "gramme": ("mass", 10**6, 0), "gramm": ("mass", 10**6, 0), "gramo": ("mass", 10**6, 0), "grama": ("mass", 10**6, 0),
     "litre": ("volume", 10**6, 0), "liter": ("volume", 10**6, 0), "litro": ("volume", 10**6, 0),
@@ -33,13 +36,23 @@ SHORT_ROOTS = {
     "g": ("mass", 10**6, 0), "gm": ("mass", 10**6, 0), "gr": ("mass", 10**6, 0),
     "l": ("volume", 10**6, 0), "lt": ("volume", 10**6, 0), "ltr": ("volume", 10**6, 0),
 }
+_POUND, _INCH, _GALLON = 453_592_370, Fraction(254, 10_000), Fraction(3_785_411_784, 1000)
 WHOLE_ROOTS = {
     "kilo": ("mass", 10**9, 0), "kgm": ("mass", 10**9, 0), "kgr": ("mass", 10**9, 0),
     "t": ("mass", 10**12, 0), "to": ("mass", 10**12, 1), "tne": ("mass", 10**12, 0), "ton": ("mass", 10**12, 0), "tonne": ("mass", 10**12, 0), "mt": ("mass", 10**12, 0), "mton": ("mass", 10**12, 0), "metricton": ("mass", 10**12, 0), "metrictonne": ("mass", 10**12, 0), "tonmetric": ("mass", 10**12, 0), "tonnemetric": ("mass", 10**12, 0),
-    "lb": ("mass", 453_592_370, 0), "pound": ("mass", 453_592_370, 0), "lbr": ("mass", 453_592_370, 0),
-    "oz": ("mass", Fraction(45_359_237_000, 1600), 0), "ounce": ("mass", Fraction(45_359_237_000, 1600), 0),
-    "cc": ("volume", 10**3, 0), "ccm": ("volume", 10**3, 0), "cbm": ("volume", 10**9, 0), "m3": ("volume", 10**9, 0), "cm3": ("volume", 10**3, 0), "dm3": ("volume", 10**6, 0), "mm3": ("volume", 1, 0),
+    "lb": ("mass", _POUND, 0), "pound": ("mass", _POUND, 0), "lbr": ("mass", _POUND, 0),
+    "oz": ("mass", Fraction(_POUND, 16), 0), "ounce": ("mass", Fraction(_POUND, 16), 0),
+    "cwt": ("mass", 112 * _POUND, 0), "hundredweight": ("mass", 112 * _POUND, 0), "grain": ("mass", Fraction(_POUND, 7000), 0), "gr": ("mass", Fraction(_POUND, 7000), 3),
+    "cc": ("volume", 10**3, 0), "gal": ("volume", _GALLON, 0), "gallon": ("volume", _GALLON, 0), "qt": ("volume", _GALLON / 4, 0), "quart": ("volume", _GALLON / 4, 0), "pt": ("volume", _GALLON / 8, 0), "pint": ("volume", _GALLON / 8, 0),
+    "floz": ("volume", _GALLON / 128, 0), "fluidounce": ("volume", _GALLON / 128, 0), "usgal": ("volume", _GALLON, 0), "impgal": ("volume", 4_546_090, 0), "imperialgallon": ("volume", 4_546_090, 0),
 }
+LENGTHS = {
+    "metre": ("length", 1, 0), "meter": ("length", 1, 0), "metro": ("length", 1, 0), "m": ("length", 1, 0), "mtr": ("length", 1, 0), "mt": ("length", 1, 0),
+    "in": ("length", _INCH, 0), "inch": ("length", _INCH, 0), "ft": ("length", 12 * _INCH, 0), "foot": ("length", 12 * _INCH, 0), "feet": ("length", 12 * _INCH, 0),
+}
+# Exponents before and after a root of length.
+EXPONENTS_BEFORE = {"cubic": 3, "cu": 3, "cb": 3, "c": 3, "square": 2, "sq": 2}
+EXPONENTS_AFTER = {"3": 3, "2": 2, "cubed": 3, "cubo": 3, "cube": 3}
 ENDINGS = {"": 0, "s": 0, "es": 1, "n": 1}
 # Words for packages and pieces, which measure nothing.
 PACKAGES = frozenset("drum drums bag bags box boxes carton cartons ctn ctns fibre fiber vial vials pcs pc piece pieces pack packs pallet pallets can cans bottle bottles case cases keg kegs tin tins sack sacks unit units ampoule ampoules jar jars".split())
@@ -48,8 +61,28 @@ NUMBERS = {w: k for k, w in enumerate("zero one two three four five six seven ei
 SCALES = {"hundred": 100, "thousand": 1000, "million": 10**6}
 _VULGAR = {c: Fraction(unicodedata.numeric(c)).limit_denominator(100) for c in "½¼¾⅓⅔⅛⅜⅝⅞⅕"}
 
-#: How much each dimension adds to the cost of a decomposition, by field: what a field of weights can't be is dear.
-PRIORS: dict[str, Mapping[str, int]] = {"quantity": {"mass": 0, "volume": 0}, "weight": {"mass": 0, "volume": 1}}
+#: What a field can't well be is dear: added to the cost of a decomposition by its dimension, and for a tonne's scale ("great").
+PRIORS: dict[str, Mapping[str, int]] = {
+    "quantity": {"mass": 0, "volume": 0, "length": 2, "area": 3, "great": 2},
+    "weight": {"mass": 0, "volume": 1, "length": 4, "area": 4, "great": 2},
+    "bulk": {"mass": 0, "volume": 0, "length": 3, "area": 3, "great": -2},
+    "length": {"mass": 3, "volume": 3, "length": 0, "area": 1, "great": 0},
+}
+#: Sizes from which a reading by prefix is of a tonne's scale.
+GREAT = 10**12
+#: Texts longer than this aren't kept in memos.
+MEMO = 256
+
+
+def memo(function: Callable) -> Callable:
+    """A bounded memo that long texts pass by, so that its memory is bounded as well."""
+    kept = lru_cache(65_536)(function)
+
+    @wraps(function)
+    def call(text: str, *more):
+        return kept(text, *more) if len(text) <= MEMO else function(text, *more)
+
+    return call
 
 
 def _trie(entries: Mapping[str, object]) -> dict:
@@ -58,20 +91,25 @@ def _trie(entries: Mapping[str, object]) -> dict:
         node = root
         for c in text:
             node = node.setdefault(c, {})
-        node[""] = value
+        node.setdefault("", []).append(value)
     return root
 
 
 _TRIES = {
-    "long prefix": _trie(LONG_PREFIXES), "short prefix": _trie(SHORT_PREFIXES),
-    "long root": _trie(LONG_ROOTS), "short root": _trie(SHORT_ROOTS), "whole root": _trie(WHOLE_ROOTS), "ending": _trie({k: v for k, v in ENDINGS.items() if k}),
+    "long prefix": _trie(LONG_PREFIXES), "short prefix": _trie(SHORT_PREFIXES), "capital prefix": _trie(CAPITAL_PREFIXES),
+    "long root": _trie(LONG_ROOTS), "short root": _trie(SHORT_ROOTS), "whole root": _trie(WHOLE_ROOTS), "length root": _trie(LENGTHS),
+    "before": _trie(EXPONENTS_BEFORE), "after": _trie(EXPONENTS_AFTER), "ending": _trie({k: v for k, v in ENDINGS.items() if k}),
 }
-#: What may follow what: state -> (trie, next state, cost).
+_PREFIXED = [("long prefix", "long", 1), ("short prefix", "short", 1), ("capital prefix", "short", 2)]
+#: What may follow what: state -> (trie, next state, cost). After "cubic" only a length can come.
 _GRAMMAR = {
-    "start": [("long prefix", "long", 0), ("short prefix", "short", 0), ("long root", "end", 0), ("short root", "end", 0), ("whole root", "end", 0)],
-    "long": [("long root", "end", 0), ("short root", "end", 2)],
-    "short": [("short root", "end", 0), ("long root", "end", 2)],
-    "end": [("ending", "done", 0)],
+    "start": [*_PREFIXED, ("long root", "end", 0), ("short root", "end", 0), ("whole root", "end", 0), ("length root", "end", 0), ("before", "raised", 0)],
+    "raised": [("long prefix", "raised again", 1), ("short prefix", "raised again", 1), ("length root", "end", 0)],
+    "raised again": [("length root", "end", 0)],
+    "long": [("long root", "end", 0), ("short root", "end", 2), ("length root", "end", 0)],
+    "short": [("short root", "end", 0), ("long root", "end", 2), ("length root", "end", 0)],
+    "end": [("ending", "ended", 0), ("after", "done", 0)],
+    "ended": [("after", "done", 0)],
 }
 
 
@@ -81,45 +119,71 @@ def _matches(trie: dict, text: str, at: int) -> Iterator[tuple[int, object]]:
         node = node.get(text[k])
         if node is None:
             return
-        if "" in node:
-            yield k + 1, node[""]
+        for value in node.get("", ()):
+            yield k + 1, value
 
 
-@lru_cache(65_536)
-def segment(unit: str, field: str = "quantity") -> tuple[str, Fraction] | None:
-    """(dimension, size in micrograms or microlitres) of a unit's text, None if it is none.
+@memo
+def measure(unit: str, field: str = "quantity") -> tuple[str, Fraction] | None:
+    """(dimension, size in micrograms, microlitres, metres or square metres) of a unit's text, None if it is none.
 
     Dynamic programming over (position, state); the cheapest decomposition of the whole text wins, ties go to the one
-    found with the longest root.
+    found with the longest root. Case counts for prefixes that are capital letters; text that is all capitals may mean either.
     """
-    text = re.sub(r"[^0-9a-zµ]+", "", unicodedata.normalize("NFKC", unit.lower()).replace("μ", "µ").replace("³", "3"))
-    if not text or len(text) > 40:
+    cased = re.sub(r"[^0-9A-Za-zµ]+", "", unicodedata.normalize("NFKD", unit).replace("μ", "µ"))
+    text = cased.lower()
+    if not text:
         return None
     prior = PRIORS.get(field, PRIORS["quantity"])
-    best: dict[tuple[int, str], list[tuple[int, int, int, object]]] = {(0, "start"): [(0, 0, 0, None)]}  # cost, power, -root length, root
-    for at in range(len(text) + 1):
-        for state in _GRAMMAR:
-            for cost, power, long, root in best.get((at, state), ()):
-                for name, then, extra in _GRAMMAR[state]:
-                    for end, value in _matches(_TRIES[name], text, at):
+    # by position, then state: (cost, power of ten, exponent, -length of the root, root)
+    best: dict[int, dict[str, list[tuple[int, int, int, int, tuple | None]]]] = {0: {"start": [(0, 0, 1, 0, None)]}}
+    for at in range(len(text)):
+        if at not in best:
+            if max(best) < at:
+                return None  # nothing reaches further
+            continue
+        for state, found in list(best[at].items()):
+            for name, then, extra in _GRAMMAR.get(state, ()):
+                for end, value in _matches(_TRIES[name], cased if name == "capital prefix" else text, at):
+                    for cost, power, exponent, long, root in found:
                         if name.endswith("prefix"):
-                            found = (cost + extra + 1, power + value, long, root)
+                            new = (cost + extra, power + value, exponent, long, root)
                         elif name.endswith("root"):
-                            found = (cost + extra + value[2] + prior[value[0]], power, long - (end - at), value)
+                            new = (cost + extra + value[2], power, exponent, long - (end - at), value)
+                        elif name in ("before", "after"):
+                            if name == "after" and (root[0] != "length" or exponent > 1):
+                                continue
+                            new = (cost + extra, power, value, long, root)
                         else:
-                            found = (cost + extra + value, power, long, root)
-                        best.setdefault((end, then), []).append(found)
-    done = [x for state in ("end", "done") for x in best.get((len(text), state), ()) if x[3] is not None]
-    if not done:
-        return None
-    _, power, _, root = min(done, key=lambda x: (x[0], x[2]))
-    return root[0], Fraction(root[1]) * Fraction(10) ** power
+                            new = (cost + extra + value, power, exponent, long, root)
+                        best.setdefault(end, {}).setdefault(then, []).append(new)
+    options = []
+    for state in ("end", "ended", "done"):
+        for cost, power, exponent, long, root in best.get(len(text), {}).get(state, ()):
+            dim, size = root[0], Fraction(root[1]) * Fraction(10) ** power
+            if dim == "length" and exponent > 1:
+                dim, size = ("volume", size**3 * 10**9) if exponent == 3 else ("area", size**2)
+            great = prior["great"] if power >= 6 and dim in ("mass", "volume") and size >= GREAT else 0
+            options.append((cost + prior[dim] + great, long, dim, size))
+    return min(options)[2:] if options else None
+
+
+def segment(unit: str, field: str = "quantity") -> tuple[str, Fraction] | None:
+    """As :func:`measure`, masses and volumes only."""
+    found = measure(unit, field)
+    return found if found and found[0] in ("mass", "volume") else None
 
 
 _GROUPS = r"[   '’.,]"
 _NUMBER = re.compile(rf"\d+(?:{_GROUPS}\d{{2,3}})*(?:[.,]\d+)?")
 
 
+def _fraction(whole: str, tail: str = "") -> Fraction:
+    """Of digits; more than 300 of them are beyond any total, or below any unit, that a BIGINT can tell."""
+    whole = whole.lstrip("0")
+    return Fraction(10) ** 300 if len(whole) > 300 else Fraction(f"{whole or 0}.{tail[:300] or 0}")
+
+
 def number(text: str, decimal: str) -> Fraction | None:
     """The value of a printed number at a site with that decimal mark.
 
@@ -129,7 +193,7 @@ def number(text: str, decimal: str) -> Fraction | None:
     s = re.sub(r"[   '’]", "", text)
     marks = [c for c in s if c in ".,"]
     if not marks:
-        return Fraction(s)
+        return _fraction(s)
     last = marks[-1]
     whole, _, tail = s.rpartition(last)
     if len(set(marks)) == 2 and marks.count(last) == 1:
@@ -139,7 +203,7 @@ def number(text: str, decimal: str) -> Fraction | None:
     else:
         is_decimal = last == decimal or len(tail) != 3 or not 1 <= len(whole) <= 3 or whole.startswith("0")
     digits = lambda x: x.replace(".", "").replace(",", "")
-    return Fraction(f"{digits(whole) or 0}.{tail or 0}" if is_decimal else digits(s))
+    return _fraction(digits(whole), tail) if is_decimal else _fraction(digits(s))
 
 
 def _spelled(words: list[str]) -> Fraction | None:
@@ -161,8 +225,11 @@ def _spelled(words: list[str]) -> Fraction | None:
 
 _WORD = re.compile(r"[^\W\d_]+(?:/[^\W\d_]+)?\.?(?:\s?\((?i:metric)\))?", re.U)
 
+# Units of several words.
+_TWO_WORDS = re.compile(r"(?i:metric\s+(?:tonnes?|tons?)|(?:cubic|cu)\b\.?\s*(?:(?:centi|deci|milli)?(?:met(?:re|er)s?)|[cdm]?m|in(?:ch(?:es)?)?|f(?:oo|ee)?t)|fl(?:uid)?\b\.?\s*(?:oz|ounces?)|(?:us|imp(?:erial)?)\b\.?\s*gal(?:lons?)?|[cdm]?m\^?3(?!\d))(?![^\W\d_])")
+
 
-@lru_cache(65_536)
+@memo
 def _lex(text: str, decimal: str, field: str) -> tuple[tuple[str, object], ...]:
     """Tokens: ('n', number), ('u', (dimension, size)), ('p', package), ('x', times), ('w', other word)."""
     out: list[tuple[str, object]] = []
@@ -190,7 +257,7 @@ def _lex(text: str, decimal: str, field: str) -> tuple[tuple[str, object], ...]:
             at += 1
         elif m := _WORD.match(t, at):
             word = m[0]
-            two = re.compile(r"(?i:metric)\s+(?i:tonnes?|tons?)\b").match(t, at)
+            two = _TWO_WORDS.match(t, at)
             if two:
                 word, m = two[0], two
             if "/" in word and not segment(word, field):  # "kg/bag": what stands before the stroke, then the rest
@@ -239,7 +306,7 @@ def unit_of(text: str | None, field: str = "quantity") -> tuple[str, Fraction, F
     return _unit_of(text, ".", field) if text else None
 
 
-@lru_cache(65_536)
+@memo
 def _unit_of(text: str, decimal: str, field: str) -> tuple[str, Fraction, Fraction | None] | None:
     tokens = _lex(text, decimal, field)
     units = [v for kind, v in tokens if kind == "u"]
@@ -261,7 +328,7 @@ def _whole(amount: Fraction) -> int | None:
     return n if 0 < n < 2**63 else None
 
 
-@lru_cache(65_536)
+@memo
 def amount_of(text: str, decimal: str, field: str = "quantity") -> tuple[str, int] | None:
     """(dimension, total) of a sentence about an amount; None for counts of packages, references and blanks."""
     tokens = [t for t in _lex(text, decimal, field) if t[0] != "s" or t[1] == "="]
@@ -292,10 +359,10 @@ def amount_of(text: str, decimal: str, field: str = "quantity") -> tuple[str, in
 _DESCRIBED = re.compile(r"(?:quantity\s+in|quantities\s*(?:in|:)|qty\.?\s+(?:stated\s+)?in|qty\.?\s*:|unit\s+of\s+(?:order|measure)\s*:|unit\s*:|uom\s*:)\s*([^\W\d_][^,;]*?)\s*(?=[,;]|\)\s*$|$)", re.I)
 
 
-@lru_cache(65_536)
+@memo
 def described_unit(description: str, field: str = "quantity") -> tuple[str, Fraction] | None:
     """The unit that a description gives for the quantity, None if it gives none."""
-    found = _DESCRIBED.findall(description)
+    found = _DESCRIBED.findall(re.sub(r"\s+", " ", description))
     for text in found:
         if unit := segment(text, field):
             return unit
@@ -321,7 +388,7 @@ def order_amount(quantity: float | None, unit: str | None, description: str | No
 
 def item_amount(value: float | None, unit: str | None, text: str | None, decimal: str) -> tuple[str, int] | None:
     """(dimension, total) of an item's value in its unit or, where these state no measure, of its text."""
-    return order_amount(value, unit, None, decimal) or (amount_of(text, decimal) if text and len(text) <= 1000 else None)
+    return order_amount(value, unit, None, decimal) or (amount_of(text, decimal) if text else None)
 
 
 def normalise_quantities(df: DataFrame) -> DataFrame:
@@ -332,7 +399,7 @@ def normalise_quantities(df: DataFrame) -> DataFrame:
     named ``dim`` or ``amount`` are replaced.
 
     Nulls in any column, empty or blank texts, zero, negative, infinite and not-a-number values, mere package counts and
-    references, texts of over 1,000 characters and totals beyond a BIGINT give null in both. A null decimal mark counts
+    references and totals beyond a BIGINT give null in both; texts are read whole, however long. A null decimal mark counts
     as a point. Halves of a unit round up. Equal rows give equal results; no row is dropped.
     """
 
@@ -344,9 +411,9 @@ def normalise_quantities(df: DataFrame) -> DataFrame:
             for f, v, u, t, d, m in zip(*(none(s) for s in (field, value, unit, text, description, decimal)), strict=True):
                 m = m or "."
                 if f == "quantity":
-                    got = order_amount(v, u, d, m) or (amount_of(t, m) if t and len(t) <= 1000 else None)
+                    got = order_amount(v, u, d, m) or (amount_of(t, m) if t else None)
                 else:
-                    got = amount_of(t, m, "weight") if t and len(t) <= 1000 else None
+                    got = amount_of(t, m, "weight") if t else None
                 rows.append(got or (None, None))
             out = pd.DataFrame(rows, columns=["dim", "amount"])
             yield out.assign(amount=out["amount"].astype("Int64"))

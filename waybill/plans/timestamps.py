@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waybill.operators.timestamps import normalise_timestamps
+from waybill.operators.timestamps import normalise_timestamps, zone_tables
 from waybill.session import python_trim, read_table, spread
 
 BATCH_DATES = ("manufacturing_date", "expiry_date", "retest_date")
@@ -16,16 +16,16 @@ def printed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     minus = F.lit(-1)
     place = lambda source, key, item, batch, field: [F.lit(source).alias("source"), F.col(key).cast("long").alias("record_id"), item.cast("int").alias("item_ix"), batch.cast("int").alias("batch_ix"), field.alias("field"), "site_code"]
     po = read_table(spark, sf_dir, "purchase_orders").select(*place("po", "po_id", minus, minus, F.lit("po_date")), F.col("po_date").alias("text"))
-    shipments = read_table(spark, sf_dir, "shipments")
-    invoices = shipments.select(*place("shipment", "shipment_id", minus, minus, F.lit("invoice_date")), F.col("invoice_date").alias("text"))
-    dates = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"batch.{f}").alias("text")) for f in BATCH_DATES])).alias("date")
-    batches = (
-        shipments.select("shipment_id", "site_code", F.posexplode(F.transform("items", lambda i: F.transform(i["batches"], lambda b: F.struct(*[b[f].alias(f) for f in BATCH_DATES])))).alias("item_ix", "batches"))
-        .select("shipment_id", "site_code", "item_ix", F.posexplode("batches").alias("batch_ix", "batch"))
-        .select("shipment_id", "site_code", "item_ix", "batch_ix", dates)
-        .select(*place("batch", "shipment_id", F.col("item_ix"), F.col("batch_ix"), F.col("date.field")), F.col("date.text").alias("text"))
-    )
-    return po.unionByName(invoices).unionByName(batches).where("text IS NOT NULL AND text <> ''")
+    # an invoice's date and those of its batches come from one pass over the shipments
+    none = F.array().cast("array<struct<item_ix:int,batch_ix:int,field:string,text:string>>")
+    date = lambda item, batch, field, text: F.struct(item.cast("int").alias("item_ix"), batch.cast("int").alias("batch_ix"), F.lit(field).alias("field"), text.alias("text"))
+    of_batch = lambda b, i, k: F.array(*[date(i, k, f, b[f]) for f in BATCH_DATES])
+    of_item = lambda item, i: F.coalesce(F.flatten(F.transform(item["batches"], lambda b, k: of_batch(b, i, k))), none)
+    dates = F.concat(F.array(date(minus, minus, "invoice_date", F.col("invoice_date"))), F.coalesce(F.flatten(F.transform("items", of_item)), none))
+    shipments = read_table(spark, sf_dir, "shipments").select("shipment_id", "site_code", F.explode(dates).alias("date"))
+    source = F.when(F.col("date.field") == "invoice_date", "shipment").otherwise("batch")
+    printed = shipments.select(source.alias("source"), F.col("shipment_id").cast("long").alias("record_id"), "date.item_ix", "date.batch_ix", "date.field", "site_code", "date.text")
+    return po.unionByName(printed).where("text IS NOT NULL AND text <> ''")
 
 
 def normal_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,5 +46,11 @@ def p2_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dates.groupBy("field", "precision").agg(F.count("*").alias("n"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_precision": p2_precision}
+def p2_zone_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The zone transition tables that the sites' local times go through, with the version of the database."""
+    zones = [r["zone_name"] for r in read_table(spark, sf_dir, "sites").select("zone_name").where("zone_name IS NOT NULL").distinct().collect()]  # a fixed table of a few rows
+    return zone_tables(spark, zones)
+
+
+QUERIES = {"p2_found": p2_found, "p2_precision": p2_precision, "p2_zone_tables": p2_zone_tables}
 ORACLE: dict[str, str] = {}
