@@ -1,6 +1,7 @@
+import numpy as np
 import pytest
 
-from waybill.llm.language import fit_language_model, label_language, label_languages, sample_sentences, speech, train, units_of
+from waybill.llm.language import LANGUAGES, TEMPERATURES, calibrate, fit_language_model, label_language, label_languages, sample_sentences, speech, train, units_of
 
 SENTENCES = {
     "en": ["the goods were shipped yesterday and have not yet arrived at the warehouse", "please send us the stamped certificate before the vessel leaves the port", "payment is due within thirty days after the date of the invoice"],
@@ -23,6 +24,39 @@ def test_wrong_labels_are_outvoted():
     assert a.log_probabilities([SENTENCES["ru"][0]]).argmax() == b.log_probabilities([SENTENCES["ru"][0]]).argmax() == 8
 
 
+def test_confidence_is_calibrated_on_noisy_labels():
+    """Short sentences of languages that share half of their words, a fifth of the labels redrawn: confidence is accuracy."""
+    random = np.random.default_rng(3)
+    word = lambda: "".join(random.choice(list("abdefgiklmnoprstu"), 4))
+    shared, own = [word() for _ in range(60)], {lang: [word() for _ in range(40)] for lang in ("en", "de", "fr", "es")}
+
+    def sentence(lang):
+        return " ".join(random.choice(shared if random.random() < 0.6 else own[lang]) for _ in range(3))
+
+    truth = [lang for lang in own for _ in range(1500)]
+    sentences = [(lang if random.random() > 0.2 else str(random.choice(list(own))), sentence(lang)) for lang in truth]
+    m = train(sentences)
+    assert min(TEMPERATURES) * 2 < m.temperature < max(TEMPERATURES) / 2
+    fresh = [(lang, sentence(lang)) for lang in own for _ in range(1000)]
+    p = np.exp(m.log_probabilities([w for _, w in fresh]))
+    right, sure = p.argmax(axis=1) == np.array([LANGUAGES.index(lang) for lang, _ in fresh]), p.max(axis=1)
+    bins = np.minimum((sure * 10).astype(int), 9)
+    error = sum(abs(right[bins == b].mean() - sure[bins == b].mean()) * (bins == b).mean() for b in set(bins))
+    assert 0.5 < right.mean() < 0.97 and error < 0.09, (right.mean(), error, m.temperature)
+
+
+def test_calibration_finds_temperature_and_noise():
+    random = np.random.default_rng(5)
+    scores = random.normal(0, 12, (4000, 10))
+    p = np.exp(scores / 2.0) / np.exp(scores / 2.0).sum(axis=1, keepdims=True)
+    labels = np.array([random.choice(10, p=x) for x in p])
+    wrong = random.random(4000) < 0.2
+    labels[wrong] = random.integers(0, 10, wrong.sum())
+    temperature, noise = calibrate(scores, labels)
+    assert 1.5 < temperature < 2.5 and 0.12 <= noise <= 0.3
+    assert calibrate(np.zeros((0, 10)), np.zeros(0, int)) == (1.0, 0.0)
+
+
 def text(*langs, k=0):
     return "\n\n".join(SENTENCES[x][k].capitalize() + "." for x in langs)
 

@@ -3,8 +3,9 @@
 The classifier is a sparse multinomial logistic regression on TF-IDF weighted character n-grams (hashed), trained by
 follow-the-regularised-leader with an elastic net, then calibrated by one temperature. It is fitted on the driver, on a
 bounded sample of labelled documents (``per_language`` documents of each language, ``sentences`` of each document); half
-wrong labels do little harm, since sentences that one fit contradicts are left out of the next. The model is a
-table of fixed size (``BUCKETS`` x languages), so its broadcast is bounded.
+wrong labels do little harm, since sentences that one fit contradicts are left out of the next. The temperature is fitted
+on all held-out sentences, whatever the model says of them, together with the share of wrong labels among them
+(:func:`calibrate`). The model is a table of fixed size (``BUCKETS`` x languages), so its broadcast is bounded.
 
 Applying it is one narrow Arrow-batched stage: texts are cut into sentences and lines, all n-grams of a batch are hashed
 and summed with numpy, and each document's best sequence of languages is found by dynamic programming, which changes
@@ -14,6 +15,7 @@ language only for evidence that outweighs ``SWITCH``.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,7 +34,9 @@ LABELS = {
 BUCKETS = 1 << 18
 ORDERS = (1, 2, 3, 4)
 SCALE = 20.0
-#: Cost of changing language between two sentences, in nats.
+#: Temperature at which sentences weigh as evidence in the choice of stretches; confidences have the fitted one.
+EVIDENCE = 0.25
+#: Cost of changing language between two sentences, in nats of that evidence.
 SWITCH = 4.0
 #: A sentence of fewer letters counts in proportion.
 FULL_LETTERS = 45
@@ -112,8 +116,9 @@ class Model:
     weights: np.ndarray
     idf: np.ndarray
     temperature: float
+    wrong_labels: float = 0.0
 
-    def log_probabilities(self, units: list[str]) -> np.ndarray:
+    def scores(self, units: list[str]) -> np.ndarray:
         out = np.zeros((len(units), len(LANGUAGES)))
         at = 0
         while at < len(units):
@@ -129,7 +134,10 @@ class Model:
                 np.add.at(out, at + owner[first], np.add.reduceat(self.weights[bucket], first, axis=0))
             out[at:end] /= np.maximum(mass, 1e-9)[:, None]
             at = end
-        return _log_softmax(out / self.temperature)
+        return out
+
+    def log_probabilities(self, units: list[str]) -> np.ndarray:
+        return _log_softmax(self.scores(units) / self.temperature)
 
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
@@ -178,35 +186,61 @@ def _ftrl(vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epoc
     return weights(slice(None))
 
 
+#: Temperatures tried by :func:`calibrate`.
+TEMPERATURES = tuple(np.geomspace(0.02, 20, 200).tolist())
+
+
+def calibrate(scores: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+    """(temperature, share of wrong labels) for the labels of held-out sentences.
+
+    The share of wrong labels is that among the half of the sentences with the clearest scores, where the model hardly
+    errs. Given it, the temperature is the one under which the labels of all sentences, those that the model gets wrong
+    above all, are most likely: a label is that of the sentence's language or, with that share, any other. A log-normal
+    prior about 1, as heavy as one sentence, keeps the temperature from either end where the sentences leave it open.
+    """
+    if not len(labels):
+        return 1.0, 0.0
+    two = np.sort(scores, axis=1)[:, -2:]
+    clear = np.argsort(two[:, 0] - two[:, 1], kind="stable")[: (len(labels) + 1) // 2]
+    wrong = float((scores[clear].argmax(axis=1) != labels[clear]).mean())
+    at = np.arange(len(labels))
+
+    def loss(t: float) -> float:
+        own = np.exp(_log_softmax(scores / t)[at, labels])
+        return -np.log((1 - wrong) * own + wrong * (1 - own) / (scores.shape[1] - 1) + 1e-12).sum() + np.log(t) ** 2 / 2
+
+    return min(TEMPERATURES, key=loss), wrong
+
+
 def train(sentences: list[tuple[str, str]], epochs: int = 3, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01, seed: int = 7) -> Model:
     """Fit on (language, words) pairs, of which some labels may be wrong; a tenth is held out for the temperature."""
+    # sentences, not their texts, are held out: each with the label it was given
+    held_words = {w for _, w in sentences if zlib.crc32(w.encode(), seed) % 10 == 0}
+    held = [(lang, w) for lang, w in sorted(sentences) if w in held_words]
     votes: dict[str, Counter] = {}
     for lang, words in sentences:
-        votes.setdefault(words, Counter())[lang] += 1
+        if words not in held_words:
+            votes.setdefault(words, Counter())[lang] += 1
     # the same words under several labels count once, under the most frequent one
-    sentences = sorted((min(c, key=lambda x: (-c[x], x)), words) for words, c in votes.items() if 2 * max(c.values()) > sum(c.values()))
-    if not sentences:
+    fitted = sorted((min(c, key=lambda x: (-c[x], x)), words) for words, c in votes.items() if 2 * max(c.values()) > sum(c.values()))
+    if not fitted:
         return Model(np.zeros((BUCKETS, len(LANGUAGES)), np.float32), np.ones(BUCKETS, np.float32), 1.0)
-    units = [u for _, u in sentences]
-    labels = np.array([LANGUAGES.index(lang) for lang, _ in sentences])
+    units = [u for _, u in fitted]
+    labels = np.array([LANGUAGES.index(lang) for lang, _ in fitted])
     bucket, owner = grams(units)
     pairs = np.unique(owner * BUCKETS + bucket)
     frequency = np.bincount(pairs % BUCKETS, minlength=BUCKETS)
     idf = np.log((1 + len(units)) / (1 + frequency)) + 1.0
     vectors = _vectors(units, idf)
-    held = np.random.default_rng(seed).random(len(units)) < 0.1
     keep = np.ones(len(units), dtype=bool)
     for last in (False, False, True):
-        use = np.flatnonzero(keep & ~held)
+        use = np.flatnonzero(keep)
         w = _ftrl([vectors[i] for i in use], labels[use], epochs if last else 1, alpha, beta, l1, l2, seed)
         scores = np.array([x @ w[rows] for rows, x in vectors])
         keep = scores.argmax(axis=1) == labels  # the rest are wrong labels and foreign sentences
-    test = np.flatnonzero(held & keep)
-    temperature = 1.0
-    if len(test):
-        loss = lambda t: -_log_softmax(scores[test] / t)[np.arange(len(test)), labels[test]].mean()
-        temperature = float(min(np.geomspace(0.25, 5, 60), key=loss))
-    return Model((w * idf[:, None] * SCALE).astype(np.float32), idf.astype(np.float32), max(temperature, 0.25))
+    model = Model((w * idf[:, None] * SCALE).astype(np.float32), idf.astype(np.float32), 1.0)
+    model.temperature, model.wrong_labels = calibrate(model.scores([u for _, u in held]), np.array([LANGUAGES.index(lang) for lang, _ in held], dtype=np.int64))
+    return model
 
 
 def sample_sentences(documents: DataFrame, per_language: int, sentences: int, seed: int = 7) -> list[tuple[str, str]]:
@@ -278,7 +312,8 @@ def label_languages(documents: DataFrame, model: Model) -> DataFrame:
                 spans += [(a, b) for a, b, _ in own]
                 spoken += [s for _, _, s in own]
                 counts.append(len(own))
-            logs = known.log_probabilities(spoken)
+            scores = known.scores(spoken)
+            logs, sure = _log_softmax(scores / EVIDENCE), np.exp(_log_softmax(scores / known.temperature))
             letters = np.array([len(s) - s.count(" ") for s in spoken], dtype=float)
             out, at = [], 0
             for doc, given, n in zip(batch["doc_id"], batch["lang"], counts, strict=True):
@@ -286,8 +321,7 @@ def label_languages(documents: DataFrame, model: Model) -> DataFrame:
                     path = stretches(logs[at : at + n], letters[at : at + n])
                     first = np.flatnonzero(np.r_[True, np.diff(path) != 0])
                     for k, (s, e) in enumerate(zip(first, np.r_[first[1:], n], strict=True)):
-                        own = np.exp(logs[at + s : at + e, path[s]])
-                        out.append((doc, given, k, LANGUAGES[path[s]], float(np.average(own, weights=letters[at + s : at + e])), spans[at + s][0], spans[at + e - 1][1]))
+                        out.append((doc, given, k, LANGUAGES[path[s]], float(np.average(sure[at + s : at + e, path[s]], weights=letters[at + s : at + e])), spans[at + s][0], spans[at + e - 1][1]))
                 at += n
             yield pd.DataFrame(out, columns=names)
 
