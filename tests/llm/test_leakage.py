@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from waybill.llm.leakage import FMIndex, Items, find_passages, merge_spans, suffix_array, words_of
+from waybill.llm.leakage import Aligner, FMIndex, Items, _local, find_passages, merge_spans, suffix_array, words_of
 
 WORDS = [f"{a}{b}" for a in "ba be bi bo bu da de di do du fa fe".split() for b in "ra re ri ro ru sa se si so su".split()]
 
@@ -67,4 +67,39 @@ def test_short_items_and_passages_with_few_words_intact(spark):
     changed = [f"x{w}" if k % 4 == 3 and k != 19 else w for k, w in enumerate(item)]
     items = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "one two three four five six"), (3, " ".join(item))], "item_id long, text string")
     docs = spark.createDataFrame([(1, "say alpha beta gamma delta now"), (2, "one two three four five six"), (3, "one two three four five seven"), (4, "before " + " ".join(changed) + " after")], "doc_id long, text string")
-    assert sorted((r["doc_id"], r["item_id"], r["item_start"], r["item_end"]) for r in find_passages(docs, items).collect()) == [(1, 1, 0, 4), (2, 2, 0, 6), (4, 3, 0, 39)]
+    found = lambda **more: sorted((r["doc_id"], r["item_id"], r["item_start"], r["item_end"]) for r in find_passages(docs, items, **more).collect())
+    assert found(floor=6) == [(1, 1, 0, 4), (2, 2, 0, 6), (4, 3, 0, 39)]
+    assert found() == [(1, 1, 0, 4), (2, 2, 0, 6), (3, 2, 0, 5), (4, 3, 0, 39)]  # five of six words are over a quarter
+
+
+def test_recall_by_length_and_rate_of_change_and_the_floor(spark):
+    """Every passage with a quarter of the item's words, however short the item, every fifth to eighth word changed."""
+    items = {n: passage(n, n) for n in (3, 6, 20, 60, 150)}
+    docs, want = [], set()
+    for n, words in items.items():
+        for part in (0.25, 1 / 3, 0.5, 1.0):
+            for every in (0, 5, 6, 7, 8):
+                stretch = list(words[: max(4, -int(-n * part // 1))])
+                if n == 3 and (part < 1 or every):
+                    continue
+                stretch = [f"zz{k}" if every and k % every == every - 1 else w for k, w in enumerate(stretch)]
+                docs.append((len(docs), f"{' '.join(passage(500 + len(docs), 40))} - {' '.join(stretch)} - {' '.join(passage(900 + len(docs), 40))}"))
+                if sum(not w.startswith("zz") for w in stretch) >= n / 4 or n == 3:
+                    want.add((docs[-1][0], n))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    e = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in find_passages(d, e).collect()}
+    assert got == want and len(want) > 60
+    high = {(r["doc_id"], r["item_id"]) for r in find_passages(d, e, floor=11).collect()}
+    assert high < want and not any(n == 20 for doc, n in high if len(docs[doc][1].split(" - ")[1].split()) < 11)
+
+
+def test_bound_loses_no_alignment():
+    rng = np.random.default_rng(11)
+    for _ in range(300):
+        item, text = rng.integers(1, 12, 30), rng.integers(0, 14, 60)
+        score, matches, i, j = _local(item, text)
+        for needed in (score, score + 1):
+            found = Aligner(12).aligned(item, text, needed)
+            assert (found is None) == (score < needed or score <= 0)
+        assert 0 < matches <= min(i, j) and score <= matches

@@ -3,8 +3,9 @@
 Each task cuts its documents into shards and builds an FM-index of a shard over words: a suffix array, the
 Burrows-Wheeler transform of it, a wavelet matrix for ranks and every ``SAMPLE``-th suffix position. All short phrases
 of the test items are searched backwards at once, vectorised over phrases; their occurrences are located by walking to
-sampled positions. Occurrences of one item close together are then aligned word by word, which bridges small changes
-of wording, and what the alignment covers becomes a span; the spans of a document are merged for removal.
+sampled positions. The text around occurrences of one item is then aligned with it word by word, which bridges small
+changes of wording, unless a bound shows that no alignment there can be good enough; what the alignment covers becomes
+a span; the spans of a document are merged for removal.
 
 Documents never leave their task: no shuffle, no join, memory bounded by the shard (or one document, if longer). The
 test items are broadcast behind a check of their size; items beyond the bound are searched in several passes.
@@ -12,6 +13,7 @@ test items are broadcast behind a check of their size; items beyond the bound ar
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -30,8 +32,8 @@ PHRASE = 4
 SAMPLE = 8
 #: Words of a shard.
 SHARD = 1 << 18
-#: Least score of a passage; of shorter items every word must match.
-LEAST_SCORE = 7
+#: Score of a passage (matches less changes), as a share of the stretch of the item that it covers, at least.
+LEAST_LIKENESS = 0.45
 
 _INVISIBLE = "­​‌‍⁠﻿"
 WORD = re.compile(rf"[^\W_]+(?:(?:[{_INVISIBLE}]+(?:-\n)?|-\n(?=[^\W\d_])|['’])[^\W_]+)*", re.U)
@@ -144,6 +146,8 @@ class Items:
     phrases: np.ndarray = field(default_factory=lambda: np.zeros((0, PHRASE), np.int64))
     starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
     places: np.ndarray = field(default_factory=lambda: np.zeros((0, 2), np.int64))
+    #: Items shorter than a phrase, by their number of words: (places of the items, their words, one a line).
+    short: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
 
     @classmethod
     def of(cls, rows: list[tuple[int, str]]) -> Items:
@@ -151,11 +155,15 @@ class Items:
         ids, words = [], []
         for item, text in rows:
             own = words_of(text)
-            if len(own) < PHRASE:
+            if not own:
                 continue
             ids.append(item)
             words.append(np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in own], dtype=np.int64))
         items = cls(ids, words, vocabulary)
+        for n in range(1, PHRASE):
+            at = np.array([i for i, w in enumerate(words) if len(w) == n], dtype=np.int64)
+            if len(at):
+                items.short[n] = at, np.stack([words[i] for i in at])
         grams = [(tuple(w[k : k + PHRASE]), i, k) for i, w in enumerate(words) for k in range(len(w) - PHRASE + 1)]
         grams.sort()
         if grams:
@@ -165,43 +173,74 @@ class Items:
             items.places = np.array([(i, k) for _, i, k in grams])
         return items
 
-    def bytes(self) -> int:
-        return self.phrases.nbytes + self.places.nbytes + sum(w.nbytes for w in self.words) + 80 * len(self.vocabulary)
 
+#: A match weighs so much more than a count of matches, which is carried in the digits below it.
+_UNIT = 1 << 20
 
-def _local(a: np.ndarray, b: np.ndarray) -> tuple[float, int, int]:
-    """Best local alignment of two word sequences: (score, end in a, end in b); 1 a match, -1 a change, a gap or a word more."""
+
+def _local(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int]:
+    """Best local alignment of two word sequences: (score, matches, end in a, end in b); 1 a match, -1 a change, a gap or a word more."""
     m = len(b)
-    ramp = np.arange(1, m + 1, dtype=np.float64)
-    row, best = np.zeros(m + 1), (0.0, 0, 0)
-    gains = {symbol: np.where(b == symbol, 1.0, -1.0) for symbol in set(a.tolist())}
+    ramp = np.arange(1, m + 1, dtype=np.int64) * _UNIT
+    row, best = np.zeros(m + 1, dtype=np.int64), (0, 0, 0)
+    gains = {symbol: np.where(b == symbol, _UNIT + 1, -_UNIT) for symbol in set(a.tolist())}
     for i, symbol in enumerate(a.tolist()):
         t = row[:-1] + gains[symbol]
-        np.maximum(t, row[1:] - 1.0, out=t)
-        np.maximum(t, 0.0, out=t)
+        np.maximum(t, row[1:] - _UNIT, out=t)
+        np.maximum(t, 0, out=t)
         t += ramp
         np.maximum.accumulate(t, out=t)
         np.subtract(t, ramp, out=row[1:])
         j = int(row.argmax())
         if row[j] > best[0]:
-            best = (float(row[j]), i + 1, j)
-    return best
+            best = (int(row[j]), i + 1, j)
+    # the score counts whole units, the matches are what is left of them
+    return best[0] // _UNIT, best[0] % _UNIT, best[1], best[2]
+
+
+def _most(hits: np.ndarray) -> int:
+    """Largest sum of a stretch of +1 for a hit and -1 for none."""
+    if not len(hits):
+        return 0
+    total = np.cumsum(np.where(hits, 1, -1))
+    return int((total - np.minimum(np.minimum.accumulate(total), 0)).max())
+
+
+class Aligner:
+    """Alignments of items with stretches of text that can't miss one good enough, most of them without aligning.
 
+    A word of the text that the item doesn't have costs the alignment one, wherever it stands inside, and a word that it
+    has gains one at most; the same holds the other way round. So no alignment scores more than the best stretch of
+    either side under +1 and -1, and only where both reach what is needed is anything aligned.
+    """
+
+    def __init__(self, symbols: int):
+        self.marked = np.zeros(symbols + 2, dtype=bool)
 
-def aligned(item: np.ndarray, text: np.ndarray) -> tuple[float, int, int, int, int]:
-    """(score, item start, item end, text start, text end) of the best local alignment."""
-    score, i, j = _local(item, text)
-    if score <= 0:
-        return 0.0, 0, 0, 0, 0
-    _, back_i, back_j = _local(item[:i][::-1], text[:j][::-1])
-    return score, i - back_i, i, j - back_j, j
+    def _bound(self, words: np.ndarray, of: np.ndarray) -> int:
+        self.marked[of] = True
+        self.marked[0] = False
+        out = _most(self.marked[words])
+        self.marked[of] = False
+        return out
 
+    def aligned(self, item: np.ndarray, text: np.ndarray, needed: float) -> tuple[int, int, int, int, int, int] | None:
+        """(score, matches, item start, item end, text start, text end) of the best local alignment, None if it scores less than needed."""
+        if self._bound(text, item) < needed or self._bound(item, text) < needed:
+            return None
+        score, _, i, j = _local(item, text)
+        if score < needed or score <= 0:
+            return None
+        score, matches, back_i, back_j = _local(item[:i][::-1], text[:j][::-1])
+        return score, matches, i - back_i, i, j - back_j, j
 
-def _search_shard(texts: list[list[int]], items: Items, share: float) -> Iterator[tuple[int, int, int, int, int, int]]:
+
+def _search_shard(texts: list[list[int]], items: Items, share: float, floor: int = 0) -> Iterator[tuple[int, int, int, int, int, int]]:
     """(document's place in the shard, item's place, item start, item end, first word, word after) of each passage."""
-    symbols, token_of, doc_of = [], [], []
+    symbols, token_of, doc_of, arrays = [], [], [], []
     for d, text in enumerate(texts):
         own = np.array(text, dtype=np.int64)
+        arrays.append(own)
         keep = np.ones(len(own), dtype=bool)
         keep[1:] = (own[1:] != 0) | (own[:-1] != 0)  # a run of unknown words is one symbol
         at = np.flatnonzero(keep)
@@ -211,9 +250,16 @@ def _search_shard(texts: list[list[int]], items: Items, share: float) -> Iterato
     if not symbols:
         return
     text, tokens, docs = np.concatenate(symbols), np.concatenate(token_of), np.concatenate(doc_of)
-    if len(text) <= PHRASE or not len(items.phrases):
+    if len(text) < 2 or not items.ids:
         return
     index = FMIndex(text, len(items.vocabulary))
+    for n, (at, phrases) in items.short.items():
+        low, high = index.search(phrases)
+        for i, a, b in zip(at.tolist(), low.tolist(), high.tolist(), strict=True):
+            position = index.locate(np.arange(a, b))
+            yield from ((d, i, 0, n, t, t + n) for d, t in zip(docs[position].tolist(), tokens[position].tolist(), strict=True))
+    if not len(items.phrases):
+        return
     low, high = index.search(items.phrases)
     count = high - low
     found = np.flatnonzero(count)
@@ -227,41 +273,51 @@ def _search_shard(texts: list[list[int]], items: Items, share: float) -> Iterato
     place = np.repeat(items.starts[phrase] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
     hit = np.stack([np.repeat(docs[position], many), items.places[place, 0], np.repeat(tokens[position], many), items.places[place, 1]], axis=1)
     hit = hit[np.lexsort((hit[:, 2], hit[:, 1], hit[:, 0]))]
+    aligner = Aligner(len(items.vocabulary))
     group = np.flatnonzero(np.r_[True, (hit[1:, 0] != hit[:-1, 0]) | (hit[1:, 1] != hit[:-1, 1])])
     for s, e in zip(group, np.r_[group[1:], len(hit)], strict=True):
         d, i = int(hit[s, 0]), int(hit[s, 1])
         item = items.words[i]
-        n, least, enough = len(item), share * len(item), min(LEAST_SCORE, len(item))
+        n = len(item)
+        # words that must match, and the score that a passage with so many has at least
+        least = min(n, max(floor, math.ceil(share * n)))
+        needed = LEAST_LIKENESS * least
         # hits that can belong to one passage: apart by less than the item is long
         cut = np.flatnonzero(np.diff(hit[s:e, 2]) > n) + 1
         for a, b in zip(np.r_[0, cut], np.r_[cut, e - s], strict=True):
             part = hit[s + a : s + b]
-            own = np.array(texts[d], dtype=np.int64)
+            own = arrays[d]
             todo = [(max(0, int(part[0, 2]) - n), min(len(own), int(part[-1, 2]) + n + PHRASE))]
             while todo:
                 x, y = todo.pop()
-                if y - x < enough:
+                if y - x < least or (best := aligner.aligned(item, own[x:y], needed)) is None:
                     continue
-                score, i0, i1, j0, j1 = aligned(item, own[x:y])
-                if i1 - i0 < least or score < max(enough, 0.45 * (i1 - i0)):
+                score, matches, i0, i1, j0, j1 = best
+                if matches < least or score < LEAST_LIKENESS * (i1 - i0):
                     continue
                 yield d, i, i0, i1, x + j0, x + j1
                 todo += [(x, x + j0), (x + j1, y)]  # the same item may be there again
 
 
-def find_passages(documents: DataFrame, items: DataFrame, share: float = 0.25, limit: int = BROADCAST_LIMIT) -> DataFrame:
+def find_passages(documents: DataFrame, items: DataFrame, share: float = 0.25, floor: int = 0, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """(doc_id, item_id, item_start, item_end, start, end): every passage of an item in a document.
 
-    A passage covers at least ``share`` of the item's words in order, small changes of wording and any of typography
-    aside, and has ``PHRASE`` words in a row unchanged, without which it is not found; ``item_start`` and ``item_end`` count words, ``start`` and ``end`` characters of the text.
+    A passage is a stretch of the item in order, small changes of wording and any of typography aside, of which at least
+    ``share`` of the item's words match (``floor`` words, if that is more) and that scores, at 1 a match and -1 a change,
+    at least ``LEAST_LIKENESS`` of its length. It is found by any ``PHRASE`` words in a row that are unchanged; without any
+    (every fourth word changed) it is not found. Items of fewer than ``PHRASE`` words are found where they stand whole.
+    ``item_start`` and ``item_end`` count words, ``start`` and ``end`` characters of the text.
 
-    Null and empty texts and items of fewer than ``PHRASE`` words give nothing; very long texts are read whole, in one
-    shard of their own; an item that stands in a document twice gives two rows; repeated documents give repeated rows;
-    other columns of either table are left out; empty tables give an empty result.
+    Null and empty texts and items without words give nothing; very long texts are read whole, in one shard of their
+    own; an item that stands in a document twice gives two rows; repeated documents give repeated rows; other columns of
+    either table are left out; empty tables give an empty result.
     """
-    rows = [(r["item_id"], r["text"]) for r in items.select("item_id", "text").where("text IS NOT NULL").orderBy("item_id").collect()]
-    known = Items.of(rows)
-    passes = [known] if known.bytes() <= limit else [Items.of(rows[k::p]) for p in [known.bytes() // limit + 1] for k in range(p)]
+    usable = items.select("item_id", F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    # the index of the phrases takes about 16 bytes a character; as many passes as bounded parts, none collected before it is counted
+    characters = usable.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
+    parts = 1 + 16 * characters // limit
+    part_of = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
+    passes = (Items.of([(r["item_id"], r["text"]) for r in usable.where(part_of == k).orderBy("item_id").collect()]) for k in range(parts))
     spark = documents.sparkSession
     out = None
     for part in passes:
@@ -274,7 +330,7 @@ def find_passages(documents: DataFrame, items: DataFrame, share: float = 0.25, l
 
             def flush(held: list[tuple[int, str, list[int]]]) -> pd.DataFrame:
                 rows, spans = [], {}
-                for d, i, i0, i1, w0, w1 in _search_shard([w for _, _, w in held], own, share):
+                for d, i, i0, i1, w0, w1 in _search_shard([w for _, _, w in held], own, share, floor):
                     if d not in spans:
                         spans[d] = [m.span() for m in WORD.finditer(held[d][1])]
                     rows.append((held[d][0], own.ids[i], i0, i1, spans[d][w0][0], spans[d][w1 - 1][1]))
