@@ -82,6 +82,26 @@ def test_short_names_initials_and_other_scripts(spark):
     assert len(set(found.values())) == len(groups)
 
 
+def test_single_words_reordered_words_and_names_without_latin_letters(spark):
+    groups = [
+        ["Pfizer GmbH", "Pfiser GmbH"], ["Bayer AG"], ["Beyer AG"], ["Siemens AG", "SIEMENS", "Simens AG"], ["Al Noor Medical Supplies", "Alnoor Medical Supplies"],
+        ["Kramer Weiss Hofmann Pharma Ltd", "Weiss Kramer Hofmann Pharma", "Hofmann Weiss Kramar Pharma Ltd"],
+        ["Газпром", "Газпром Ltd"], ["Лукойл"], ["شركة النور"], ["株式会社"], ["有限公司"], ["Pfizerr Trading"], ["Novartis"],
+    ]
+    found = {r["name"]: r["entity"] for r in link_names(spark.createDataFrame([(x,) for g in groups for x in g], "name string")).collect()}
+    assert [len({found[x] for x in g}) for g in groups] == [1] * len(groups)
+    assert len(set(found.values())) == len(groups)
+
+
+def test_large_cells_and_large_entities_give_the_same(spark):
+    words = list(dict.fromkeys(w for w in random_words(400, "abcd", 9, 8) if w))
+    points = spark.createDataFrame([*enumerate(words)], "id long, s string")
+    for radius in (1, 2):
+        assert set(metric_join(points, radius, most=5).collect()) == set(metric_join(points, radius).collect())
+    entities = spark.createDataFrame([(f"n{i:03}", i // 90) for i in range(200)], "name string, entity long")
+    assert set(pairs_of_names(entities, per_salt=7).collect()) == {(f"n{i:03}", f"n{k:03}") for i in range(200) for k in range(i + 1, 200) if i // 90 == k // 90}
+
+
 def test_distances_of_letters_beyond_latin():
     assert distances("гумир", *encode(["гумир", "гумар", "лафат", "ab"])).tolist() == [0, 1, 5, 5]
     assert distances("ab", *encode(["гб", "ab"])).tolist() == [2, 0]

@@ -28,8 +28,12 @@ RADIUS = 1
 #: At most so many pivots, and strings for which one is drawn.
 PIVOTS = 4096
 PER_PIVOT = 400
-#: Own words joined that are shorter than this are a part of a name.
+#: Strings of a cell that one task joins; larger cells are joined by all tasks.
+CELL_MOST = 50_000
+#: Two own words joined that are shorter than this are compared with their initials and business as well.
 LEAST_FULL = 11
+#: Names of one own word are one organisation's if it has so many letters and differs in one of them.
+LEAST_ALONE = 6
 
 # Lines of business, as the words people write them with; longer ones first.
 BUSINESSES = {
@@ -55,6 +59,9 @@ FORMS = {
     "sa": r"s\.?\s?a\b\.?(?!\w)",
     "holding": r"(?:holding|hldg)s?\b\.?",
     "corporation": r"corp(?:oration)?\b\.?",
+    "incorporated": r"inc(?:orporated)?\b\.?",
+    "ag": r"ag\b",
+    "plc": r"plc\b\.?",
     "company": r"co(?:mp(?:any)?)?\b\.?",
 }
 _BUSINESS = [(k, re.compile(rf"(?<![a-z]){p}")) for k, p in BUSINESSES.items()]
@@ -65,6 +72,10 @@ _NOTE = re.compile(r"\((?:[^()]*)\)\s*$|[,\-–]\s*(?:import|export|purchase|hea
 _FOR = re.compile(r"(?<![a-z])(?:(?:co|company)\b\.?\s+)?for\s+")
 
 
+#: Scripts of which a sign is a syllable or a word, so that one edit makes another name.
+_SYLLABIC = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]"
+
+
 @dataclass(frozen=True)
 class Parts:
     """A name taken apart: own words folded and as written, line of business and legal form ('' if not said)."""
@@ -214,11 +225,33 @@ def left_by_deletions(text: str, depth: int) -> set[str]:
     return out
 
 
-def metric_join(points: DataFrame, radius: int = RADIUS, per_pivot: int = PER_PIVOT, seed: int = 5) -> DataFrame:
+def _join_large(cells: DataFrame, radius: int) -> DataFrame:
+    """(a, b): as the join inside a cell, for cells that no task should hold: strings meet by what deletions leave.
+
+    A deletion is shared by the strings that an insertion makes of it, some hundreds at most, however large the cell.
+    """
+
+    @F.pandas_udf("array<string>")
+    def left(texts: pd.Series) -> pd.Series:
+        return pd.Series([sorted(left_by_deletions(t, radius)) for t in texts])
+
+    @F.pandas_udf("boolean")
+    def near(one: pd.Series, two: pd.Series) -> pd.Series:
+        if radius == 1:
+            return pd.Series([one_edit(x, y) for x, y in zip(one, two, strict=True)], dtype=bool)
+        return pd.Series([int(distances(x, *encode([y]))[0]) <= radius for x, y in zip(one, two, strict=True)], dtype=bool)
+
+    opened = cells.withColumn("d", F.explode(left("s")))
+    probes = opened.where("home").select("cell", "d", F.col("id").alias("x"), F.col("s").alias("xs"))
+    met = probes.join(opened.select("cell", "d", F.col("id").alias("y"), F.col("s").alias("ys")), ["cell", "d"]).where("x <> y").select("x", "y", "xs", "ys").distinct()
+    return met.where(near("xs", "ys")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def metric_join(points: DataFrame, radius: int = RADIUS, per_pivot: int = PER_PIVOT, seed: int = 5, most: int = CELL_MOST) -> DataFrame:
     """(a, b), a < b: ids of points (id, s) whose strings are within the radius.
 
     Pivots are a sample, one for ``per_pivot`` strings, at most ``PIVOTS`` (which bounds their broadcast); any choice
-    gives the same links, only the cells differ. Points with null or empty strings have no links. Equal strings collapse
+    gives the same links, only the cells differ. A cell of over ``most`` strings is joined by all tasks, exactly as well. Points with null or empty strings have no links. Equal strings collapse
     before the join and link as a star.
 
     A string goes home to its nearest pivot, the first of several. If x is at home with p, then d(x, p) <= d(x, q) for
@@ -246,14 +279,18 @@ def metric_join(points: DataFrame, radius: int = RADIUS, per_pivot: int = PER_PI
             home = d.argmin(axis=1)[row] == cell if len(texts) else np.zeros(0, bool)
             yield pd.DataFrame({"cell": cell.astype(np.int32), "home": home, "id": ids[row], "s": texts[row]})
 
-    cells = strings.repartition(F.col("s")).mapInPandas(assign, "cell int, home boolean, id long, s string")
+    cells = cut(strings.repartition(F.col("s")).mapInPandas(assign, "cell int, home boolean, id long, s string"))
+    large = [r["cell"] for r in cells.groupBy("cell").count().where(F.col("count") > most).select("cell").collect()]  # of PIVOTS cells at most
 
     def join(frame: pd.DataFrame) -> pd.DataFrame:
         ids, texts = frame["id"].tolist(), frame["s"].tolist()
         links = [(min(ids[i], ids[k]), max(ids[i], ids[k])) for i, k in within(texts, np.flatnonzero(frame["home"]).tolist(), radius) if ids[i] != ids[k]]
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-    links = cells.groupBy("cell").applyInPandas(join, "a long, b long")
+    small = cells.where(~F.col("cell").isin(large)) if large else cells
+    links = small.groupBy("cell").applyInPandas(join, "a long, b long")
+    if large:
+        links = links.unionByName(_join_large(cells.where(F.col("cell").isin(large)), radius))
     return links.unionByName(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
 
 
@@ -262,8 +299,9 @@ def link_names(names: DataFrame, name: str = "name") -> DataFrame:
 
     Nulls, empty and blank names give no rows; repeated names one row; ties between full names that a partial name could
     mean leave it alone; very long names are read whole; an empty table gives an empty result; other columns are left out.
-    Names without a-z letters are compared by the letters of their script. A name with less than two own words of three
-    letters, or fewer than ``LEAST_FULL`` letters in Han, Kana or Hangul, is compared by equality and as a partial name only.
+    Names without a-z letters are compared by the letters of their script. A name of one own word, or of short ones, that
+    means no full name is linked to its like within the radius if it has ``LEAST_ALONE`` letters; with fewer, or in Han,
+    Kana or Hangul, if its letters are equal.
     """
     distinct = names.select(F.col(name).cast("string").alias("name")).where(F.col("name").rlike(r"(?U)\S")).distinct()
 
@@ -280,26 +318,39 @@ def link_names(names: DataFrame, name: str = "name") -> DataFrame:
     # names of equal own words, read in either order, are one node; the rest are nodes by all they say
     node = F.when(full, F.xxhash64(F.lit("full"), "s", "business")).otherwise(F.xxhash64(F.lit("part"), "long", "initials", "business", "form"))
     # other names of two own words are points too, with their initials and business as part of what is compared
-    paired = ~full & (F.size("long") >= 2) & ~F.col("s").rlike(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]")
-    taken = cut(taken.withColumn("full", full).withColumn("point", full | paired).withColumn("id", node))
+    paired = ~full & (F.size("long") >= 2) & ~F.col("s").rlike(_SYLLABIC)
+    # and those of one own word, or of short words only, written together
+    together = F.concat_ws("", "words")
+    alone = ~full & ~paired & (F.size("long") < 2) & (F.length(together) > 2) & F.exists("words", lambda w: F.length(w) > 1)
+    taken = cut(taken.withColumn("full", full).withColumn("alone", alone).withColumn("point", full | paired | alone).withColumn("id", node))
     nodes = taken.select("id").distinct()
-    fulls = taken.where("point").select("id", "s", "long", "initials", "raw", "business", "form", "full")
+    fulls = taken.where("point").select("id", "s", "long", "initials", "raw", "business", "form", "full", "alone", "words")
     # points of a name: its own words joined as given, folded and as written; two words also in the other order, unless
     # they clearly stand longer word first, which then is the order in which the others are turned to meet them
     second, first = F.get("long", F.lit(1)), F.get("long", F.lit(0))
     turn = (F.size("long") == 2) & (F.length(first) < F.length(second) + 2)
     turned, as_written = F.when(turn, F.concat(second, first)), F.concat_ws("", "raw")
     written_turned = F.when(turn & (F.size("raw") == 2), F.concat(F.get("raw", F.lit(1)), F.get("raw", F.lit(0))))
-    spelled = F.filter(F.array("s", turned, as_written, written_turned), lambda x: x.isNotNull())
-    said = F.concat(F.lit("|"), F.concat_ws(" ", "initials"), F.lit("|"), "business")
+    # more words in their alphabetical order, whatever the order they were written in
+    sorted_words = F.when(F.size("long") > 2, F.concat_ws("", F.array_sort("long")))
+    spelled = F.filter(F.array("s", turned, as_written, written_turned, sorted_words), lambda x: x.isNotNull())
+    single = F.filter(F.col("words"), lambda w: F.length(w) == 1)
+    whole = F.concat_ws("", F.filter("words", lambda w: F.length(w) > 1))
+    # what must be equal stands twice, so that one letter is two edits
+    whole = F.when((F.length(whole) >= LEAST_ALONE) & ~whole.rlike(_SYLLABIC), whole).otherwise(F.concat(whole, F.lit("="), whole))
+    spelled = F.when(F.col("alone"), F.array(whole)).otherwise(spelled)
+    said = F.concat(F.lit("|"), F.concat_ws(" ", F.when(F.col("alone"), single).otherwise(F.col("initials"))), F.lit("|"), "business")
     # the shortest full names also meet those a letter shorter
     short = F.when(F.col("full") & (F.length("s") > LEAST_FULL), F.array().cast("array<string>")).otherwise(F.transform(spelled, lambda x: F.concat(x, said)))
     points = fulls.select("id", F.explode(F.array_distinct(F.concat(F.when(F.col("full"), spelled).otherwise(F.array().cast("array<string>")), short))).alias("s"))
     says = lambda a, b: (a == "") | (b == "") | (a == b)
-    line = fulls.select("id", "business").distinct()
-    links = metric_join(points).join(line.select(F.col("id").alias("a"), F.col("business").alias("of_a")), "a").join(line.select(F.col("id").alias("b"), F.col("business").alias("of_b")), "b")
-    entities = cut(connected_components(nodes, links.where(says(F.col("of_a"), F.col("of_b"))).select("a", "b")))
-    if_full = cut(fulls.where(F.size("initials") == 0).join(entities, "id").select("component", "long", "business", "form").distinct())
+    # a name of one own word meets its like only, and agrees in what it says of its legal form; full names have no form in their node
+    line = fulls.groupBy("id").agg(F.first("business").alias("business"), F.first("alone").alias("alone"), F.when(F.first("alone"), F.first("form")).otherwise("").alias("form"))
+    of = lambda k: line.select(F.col("id").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("business", "alone", "form")])
+    links = metric_join(points).join(of("a"), "a").join(of("b"), "b").where(F.col("alone_a") == F.col("alone_b"))
+    links = links.where(says(F.col("business_a"), F.col("business_b")) & says(F.col("form_a"), F.col("form_b")))
+    entities = cut(connected_components(nodes, links.select("a", "b")))
+    if_full = cut(fulls.where((F.size("initials") == 0) & ~F.col("alone")).join(entities, "id").select("component", "long", "business", "form").distinct())
 
     # partial names: the own word they have meets a word of a full name, and whatever else they say agrees
     heads = if_full.where(F.size("long") >= 2).select("component", "business", "form", F.posexplode("long").alias("at", "word"), "long").withColumn("others", F.expr("filter(long, (w, i) -> i <> at)"))
@@ -317,13 +368,19 @@ def link_names(names: DataFrame, name: str = "name") -> DataFrame:
     # the nearest spelling decides; if it is several organisations', a word that agrees in the legal form as well
     best = meant.groupBy("id", "distance").agg(F.collect_set("component").alias("all"), F.collect_set(F.when((F.col("form") != "") & (F.col("form") == F.col("f2")), F.col("component"))).alias("same"))
     best = best.groupBy("id").agg(F.min_by(F.struct("all", "same"), "distance").alias("x"))
-    chosen = best.select("id", F.when(F.size("x.all") == 1, F.get("x.all", F.lit(0))).when(F.size("x.same") == 1, F.get("x.same", F.lit(0))).alias("entity")).where("entity IS NOT NULL")
+    # one that may mean several organisations is linked to none, nor to other names of its kind
+    only = F.when(F.size("x.all") == 1, F.get("x.all", F.lit(0))).when(F.size("x.same") == 1, F.get("x.same", F.lit(0)))
+    chosen = best.select("id", F.coalesce(only, F.col("id")).alias("entity"))
     found = taken.select("name", "id").join(entities, "id").join(chosen, "id", "left")
     return found.select("name", F.coalesce("entity", "component").alias("entity"))
 
 
-def pairs_of_names(entities: DataFrame, salts: int = 8) -> DataFrame:
-    """(name_a, name_b), name_a < name_b by code point: pairs of names of one entity; the join is salted."""
-    one = entities.select("entity", F.col("name").alias("name_a"), F.pmod(F.xxhash64("name"), F.lit(salts)).cast("int").alias("_salt"))
-    two = entities.select("entity", F.col("name").alias("name_b"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+def pairs_of_names(entities: DataFrame, per_salt: int = 500) -> DataFrame:
+    """(name_a, name_b), name_a < name_b by code point: pairs of names of one entity.
+
+    The pairs of an entity are spread over one task for each ``per_salt`` of its names.
+    """
+    salted = entities.join(entities.groupBy("entity").agg(F.ceil(F.count("*") / per_salt).cast("int").alias("_salts")), "entity")
+    one = salted.select("entity", F.col("name").alias("name_a"), F.pmod(F.xxhash64("name"), F.col("_salts")).cast("int").alias("_salt"))
+    two = salted.select("entity", F.col("name").alias("name_b"), F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"))
     return one.join(two, ["entity", "_salt"]).where("name_a < name_b").select("name_a", "name_b")
