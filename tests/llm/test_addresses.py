@@ -1,3 +1,5 @@
+from collections import defaultdict
+
 from waybill.llm.addresses import pairs_of_places, place_tokens, same_places
 
 ROWS = [
@@ -20,7 +22,11 @@ SCHEMA = "key string, text string, trusted boolean"
 
 def test_tokens(spark):
     r = place_tokens(spark.createDataFrame(ROWS[:1], SCHEMA), "key", "text").first()
-    assert (r["house"], r["box"], r["post"], r["words"]) == ("136", "134624", "48532", ["milomora", "porugo"])
+    assert (r["numbers"], r["box"], r["post"], r["words"]) == (["136"], "134624", "48532", ["milomora", "porugo"])
+    texts = ["A\nBuilding 7, 12 King Road", "A\nBahnhofstrasse 12, 8001 Zürich", "A\n0012 Main Street", "A\nулица Ленина, дом 5, Москва", "A", None]
+    rows = place_tokens(spark.createDataFrame(list(enumerate(texts)), "key int, text string"), "key", "text").orderBy("key").collect()
+    assert [(r["numbers"], r["post"]) for r in rows] == [(["12", "7"], None), (["12"], "8001"), (["12"], None), (["5"], None), ([], None), ([], None)]
+    assert rows[1]["words"] == ["bahnhof", "zurich"] and rows[3]["words"] == ["ленина", "москва"]
 
 
 def test_places_and_edges(spark):
@@ -33,3 +39,21 @@ def test_places_and_edges(spark):
     want |= {("c:8", "p:3"), ("c:9", "p:3")}
     assert pairs == want
     assert same_places(df.limit(0), "key", "text", "trusted").count() == 0
+
+
+def test_numbers_boxes_postcodes_and_other_scripts(spark):
+    groups = [
+        ["Building 7, 12 Kingsway Road, Milomora", "12 Kingsway Road, Building 7\nMilomora"], ["Building 8, 12 Kingsway Road, Milomora"], ["12 Kingsway Road, Milomora"],
+        ["Building 3, 40 Porugo Lane, Lokupur", "40 Porugo Lane, Lokupur"],
+        ["12 Gartenstrasse\n10115 Berlin", "12 Gartenstr.\nBerlin 10115"], ["Bahnhofstrasse 12\n8001 Zurich", "Bahnhofstr. 12, Zürich"],
+        ["PO Box 123, Ammanov"], ["PO Box 123, Cairona"], ["P.O.Box 123"], ["PO Box 777, Fidabad", "P.O.Box 777"],
+        ["улица Ленинова, дом 5, Москвана", "Москвана, Ленинова ул., 5"],
+        ["9 Vivaldi Street, Tormelin", "9 Vibaldi St, Tormelin", "9, Vivladi Street, Tromelin"],
+    ]
+    rows = [(f"c:{i}.{k}", f"X\n{t}", True) for i, g in enumerate(groups) for k, t in enumerate(g)]
+    rows += [(f"f:{i}", f"X\n{i + 200} Filler{chr(97 + i % 26)}{chr(97 + i // 26)}oma Street, City{chr(97 + i % 26)}{chr(98 + i // 26)}udi", True) for i in range(100)]
+    found = defaultdict(set)
+    for r in same_places(spark.createDataFrame(rows, SCHEMA), "key", "text", "trusted").collect():
+        found[r["place"]].add(r["key"])
+    got = {frozenset(v) for v in found.values() if not any(k.startswith("f:") for k in v)}
+    assert got == {frozenset(f"c:{i}.{k}" for k in range(len(g))) for i, g in enumerate(groups)}
