@@ -279,7 +279,9 @@ def metric_join(points: DataFrame, radius: int = RADIUS, per_pivot: int = PER_PI
             home = d.argmin(axis=1)[row] == cell if len(texts) else np.zeros(0, bool)
             yield pd.DataFrame({"cell": cell.astype(np.int32), "home": home, "id": ids[row], "s": texts[row]})
 
-    cells = cut(strings.repartition(F.col("s")).mapInPandas(assign, "cell int, home boolean, id long, s string"))
+    # short strings cost much time and few bytes: as many tasks as cores, however small the planner finds them
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cells = cut(strings.repartition(tasks, F.col("s")).mapInPandas(assign, "cell int, home boolean, id long, s string"))
     large = [r["cell"] for r in cells.groupBy("cell").count().where(F.col("count") > most).select("cell").collect()]  # of PIVOTS cells at most
 
     def join(frame: pd.DataFrame) -> pd.DataFrame:
