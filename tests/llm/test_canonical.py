@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from waybill.llm.canonical import DeleteIndex, deletions, map_by_join, map_to_canonical, spellings_of, weighted_distance
+from waybill.llm.canonical import DeleteIndex, deletions, map_by_join, map_to_canonical, spellings_of, spellings_table, weighted_distance
 from waybill.llm.lexicon import aliases
 
 TERMS = [(1, "test", "Assay"), (2, "test", "Loss on Drying"), (3, "test", "Residue on Ignition"), (4, "test", "Identification by IR"), (5, "test", "Identification by HPLC"), (6, "label", "Expiry Date"), (7, "country", "Germany"), (8, "country", "Spain")]
@@ -59,3 +59,24 @@ def test_ties_go_to_the_more_frequent_entry():
     index = DeleteIndex([("t", 1, "abcdefx"), ("t", 2, "abcdefy")], {2: 5})
     assert index.lookup("t", "abcdefz")[0] == 2
     assert DeleteIndex([("t", 1, "abcdefx"), ("t", 2, "abcdefy")]).lookup("t", "abcdefz")[0] == 1
+
+
+def test_values_of_any_length_and_both_ways_alike(spark, spellings):
+    long = "Assay (" + "by HPLC method, " * 40 + ")"
+    values = [("test", long), ("test", " " * 500 + "LOD" + " " * 500), ("test", "1. " * 300 + "Assay" + " [x]" * 300), ("label", "x" * 3000), ("test", "1. Iron test")]
+    df = spark.createDataFrame(values, "kind string, value string")
+    near = [r["term_id"] for r in map_to_canonical(df, spellings).collect()]
+    assert near[:4] == [1, 2, 1, 0]
+    far = {r["value"]: r["term_id"] for r in map_to_canonical(df, spellings, limit=0).collect()}
+    assert [far[v] for _, v in values] == near
+
+
+def test_whole_value_goes_before_its_parts_on_both_ways(spark):
+    terms = spark.createDataFrame([(1, "test", "Iron"), (2, "test", "Iron test"), (3, "test", "Copper")], "term_id int, kind string, term string")
+    table = spellings_table(terms)
+    df = spark.createDataFrame([("test", "Iron test"), ("test", "Iron test."), ("test", "iron"), ("test", "Coper")], "kind string, value string")
+    often = spark.createDataFrame([(1, 100)], "term_id int, n long")
+    for limit in (1 << 20, 0):
+        found = {r["value"]: (r["term_id"], r["term_cost"]) for r in map_to_canonical(df, table, frequency=often, limit=limit).collect()}
+        assert {v: t for v, (t, _) in found.items()} == {"Iron test": 2, "Iron test.": 2, "iron": 1, "Coper": 3}
+        assert found["Iron test"][1] == 0.0

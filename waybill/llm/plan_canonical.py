@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waybill.llm.canonical import map_to_canonical, spellings_of
+from waybill.llm.canonical import map_to_canonical, spellings_table
 from waybill.llm.lexicon import aliases
 from waybill.session import read_table, spread
 
@@ -30,9 +30,9 @@ def mapped_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = typed_values(spark, sf_dir)
     # how often each entry occurs in the data as it stands: at most one row an entry
     entries = terms.select("kind", F.col("term").alias("value"), "term_id").dropDuplicates(["kind", "value"])
-    frequency = {r["term_id"]: r["n"] for r in values.groupBy("kind", "value").count().join(entries, ["kind", "value"]).select("term_id", F.col("count").alias("n")).collect()}
+    frequency = values.groupBy("kind", "value").count().join(entries, ["kind", "value"]).select("term_id", F.col("count").alias("n"))
     free = spread(values.join(entries.select("kind", "value"), ["kind", "value"], "left_anti"))
-    return map_to_canonical(free, spellings_of(terms, aliases()), "kind", "value", frequency)
+    return map_to_canonical(free, spellings_table(terms, aliases()), "kind", "value", frequency)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
