@@ -56,3 +56,8 @@ def letterhead(position: Column, first_table: Column, width: Column, height: Col
     """Whether a picture is a letterhead's logo: before the first table, wide, and first in line or near the top left."""
     near = (F.coalesce(dx_in, F.lit(9.0)) < 1.5) & (F.coalesce(dy_in, F.lit(9.0)) < 1.5)
     return (position <= F.coalesce(first_table, position)) & (((F.try_divide(width, height) >= 1.8) & (inline_first | near)) | (F.coalesce(dy_in, F.lit(0.0)) < 0))
+
+
+def pixel_box(box: Column, width: Column, height: Column) -> Column:
+    """struct<x0, y0, x1, y1>: a box of fractions in whole pixels, cut off."""
+    return F.struct((box["x0"] * width).cast("int").alias("x0"), (box["y0"] * height).cast("int").alias("y0"), (box["x1"] * width).cast("int").alias("x1"), (box["y1"] * height).cast("int").alias("y1"))

@@ -29,7 +29,7 @@ RETEST_WORDS = ("retest", "requalification", "recheck", "reevaluation", "reasses
 SIGNATURE_WORDS = ("signature", "sign here", "authorized", "authorised", "checked by", "approved by", "prepared by", "verified by", "qa manager", "qc manager", "analyst", "chemist", "authorised signatory", "authorized signatory")
 # Roles of header cells by substring, the first that fits.
 ROLES = (
-    ("no", ("s no", "sr no", "sl no", "no", "sr no", "sl no")),
+    ("no", ("s no", "sr no", "sl no", "no")),
     ("result", ("result", "observation", "finding")),
     ("specification", ("specification", "limit", "standard", "acceptance")),
     ("parameter", ("test", "parameter", "particular", "characteristic", "item")),
@@ -250,12 +250,12 @@ def text_lines(x: Column | str) -> Column:
     return F.filter(F.split(filled(x), r"\R"), lambda t: python_trim(t) != "")
 
 
-def fitted(lines: Column, slots: int) -> Column:
-    """Lines in a fixed number of slots: '' for missing ones, the overflow joined in the last."""
+def fitted(lines: Column, slots: int, overflow: str = "join") -> Column:
+    """Lines in a fixed number of slots: '' for missing ones, the overflow joined in the last, or dropped where a form has it so."""
     clean = F.filter(F.transform(lines, lambda t: python_trim(filled(t))), lambda t: t != "")
     few = F.slice(F.concat(clean, F.array_repeat(F.lit(""), slots)), 1, slots)
     many = F.concat(F.slice(clean, 1, slots - 1), F.array(F.array_join(F.slice(clean, F.lit(slots), F.greatest(F.size(clean), F.lit(1))), ", ")))
-    return F.when(F.size(clean) <= slots, few).otherwise(many)
+    return few if overflow == "drop" else F.when(F.size(clean) <= slots, few).otherwise(many)
 
 
 def data_url(content: Column | str, path: Column | str) -> Column:
@@ -264,3 +264,38 @@ def data_url(content: Column | str, path: Column | str) -> Column:
     types = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "bmp": "image/bmp", "webp": "image/webp", "tif": "image/tiff", "tiff": "image/tiff"}
     kind = F.try_element_at(F.create_map(*[F.lit(v) for p in types.items() for v in p]), F.regexp_extract(F.lower(_c(path)), r"\.([^.]+)$", 1))
     return F.concat(F.lit("data:"), F.coalesce(kind, F.lit("image/png")), F.lit(";base64,"), F.regexp_replace(F.base64(_c(content)), r"\s", ""))
+
+
+def sanitised(records: Column, keys: tuple[str, ...]) -> Column:
+    """An array of structs with null texts as '', without null elements and those whose first key is empty."""
+    clean = F.transform(F.filter(records, lambda r: r.isNotNull()), lambda r: F.struct(*[F.coalesce(r[k].cast("string"), F.lit("")).alias(k) for k in keys]))
+    return F.filter(clean, lambda r: r[keys[0]] != "")
+
+
+def valid_span(label: Column | str, value: Column | str) -> Column:
+    """Whether a label of 1 to 60 characters has a value."""
+    return F.length(filled(label)).between(1, 60) & (filled(value) != "")
+
+
+def value_prefix(x: Column | str) -> Column:
+    """struct<prefix, rest>: the colon with its blanks that begins a cell's value, which stays when the value changes, and the rest."""
+    prefix = F.regexp_extract(filled(x), r"^\s*[:：]\s*", 0)
+    return F.struct(prefix.alias("prefix"), F.substr(filled(x), F.length(prefix) + 1).alias("rest"))
+
+
+def second_line(text: Column | str, new: Column | str) -> Column:
+    """A text's second line replaced; without one what follows its last colon, else all of it."""
+    t, n = filled(text), filled(new)
+    lines = F.concat(F.split_part(t, F.lit("\n"), F.lit(1)), F.lit("\n"), n)
+    return F.when(F.contains(t, F.lit("\n")), lines).when(F.contains(t, F.lit(":")), F.concat(F.regexp_extract(t, r"(?s)^(.*):", 1), F.lit(":  "), n)).otherwise(n)
+
+
+# Pharmacopoeias that end a product's name.
+PHARMACOPOEIAS = "EP|USP|BP|IP|JP|Ph\\.Eur\\."
+
+
+def product_name(description: Column | str) -> Column:
+    """A description up to its first pharmacopoeia; up to the first comma, bracket or line without one."""
+    t = python_trim(filled(description))
+    upto = F.regexp_extract(t, rf"^([^\n]*?\b(?:{PHARMACOPOEIAS}))(?:[^\w]|$)", 1)
+    return F.when(upto != "", upto).otherwise(python_trim(F.regexp_extract(t, r"^([^,(\n]*)", 1)))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator  # noqa: F401
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waybill.functions import geometry as G
+from waybill.session import python_trim
 
 LINE_GAP = 3.0
 PAGE = ("doc_id", "page")
@@ -131,5 +130,16 @@ def block_style(size, bold, median):
 def ocr_words(raw: DataFrame, dpi: int = 300, least: float = 40) -> DataFrame:
     """Recognised words that aren't empty, by confidence, in points."""
     scale = 72.0 / dpi
-    kept = raw.where((F.trim("text") != "") & (F.col("conf") >= least))
-    return kept.select("doc_id", "page", "word_ix", F.trim("text").alias("text"), *[(F.col(c) * scale).alias(c) for c in ("x0", "x1", "top", "bottom")], F.greatest(F.lit(6.0), (F.col("bottom") - F.col("top")) * scale * 0.8).alias("size"))
+    kept = raw.where((python_trim("text") != "") & (F.col("conf") >= least))
+    return kept.select("doc_id", "page", "word_ix", python_trim("text").alias("text"), *[(F.col(c) * scale).alias(c) for c in ("x0", "x1", "top", "bottom")], F.greatest(F.lit(6.0), (F.col("bottom") - F.col("top")) * scale * 0.8).alias("size"))
+
+
+def once_per_cell(cells: DataFrame, keys: tuple[str, ...] = ("doc_id", "table_ix", "row_ix")) -> DataFrame:
+    """Cells of rows in which a merged cell is listed once for each column it spans, each once, at its first place."""
+    return cells.groupBy(*keys, "cell_id").agg(F.min("cell_ix").alias("cell_ix"), F.min_by("text", "cell_ix").alias("text"))
+
+
+def table_width(cells: DataFrame, keys: tuple[str, ...] = ("doc_id", "table_ix")) -> DataFrame:
+    """(keys, n_rows, n_cols): the length of each table's longest row."""
+    rows = cells.groupBy(*keys, "row_ix").agg(F.count("*").alias("_n"))
+    return rows.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.max("_n").alias("n_cols"))

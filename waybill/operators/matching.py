@@ -209,17 +209,54 @@ def assign_rows(rows: DataFrame, items: DataFrame, cutoff: float = ROW_CUTOFF) -
 
 
 def row_actions(rows: DataFrame, items: DataFrame, assigned: DataFrame) -> DataFrame:
-    """(doc_id, row_ix, item_ix, action, anchor_ix): matched rows, rows to delete and items to append after the last row."""
+    """(doc_id, row_ix, item_ix, action, anchor_ix, result): matched rows, rows to delete and items to append after the last row.
+
+    ``result`` is the item's result text, '' if it has none and for rows to delete.
+    """
     matched = assigned.select("doc_id", "row_ix", "item_ix", F.lit("match").alias("action"), F.col("row_ix").alias("anchor_ix"))
     gone = rows.select("doc_id", "row_ix").join(assigned, ["doc_id", "row_ix"], "left_anti").select("doc_id", "row_ix", F.lit(None).cast("bigint").alias("item_ix"), F.lit("delete").alias("action"), F.col("row_ix").alias("anchor_ix"))
     last = rows.groupBy("doc_id").agg(F.max("row_ix").alias("anchor_ix"))
     new = items.select("doc_id", "item_ix").join(assigned, ["doc_id", "item_ix"], "left_anti").join(last, "doc_id").select("doc_id", F.lit(None).cast("bigint").alias("row_ix"), "item_ix", F.lit("append").alias("action"), "anchor_ix")
     long = lambda d: d.select("doc_id", F.col("row_ix").cast("bigint"), F.col("item_ix").cast("bigint"), "action", F.col("anchor_ix").cast("bigint"))
-    return long(matched).unionByName(long(gone)).unionByName(long(new))
+    texts = items.select("doc_id", F.col("item_ix").cast("bigint").alias("item_ix"), (T.filled("result") if "result" in items.columns else F.lit("")).alias("result"))
+    every = long(matched).unionByName(long(gone)).unionByName(long(new))
+    return every.join(texts, ["doc_id", "item_ix"], "left").select("doc_id", "row_ix", "item_ix", "action", "anchor_ix", T.filled("result").alias("result"))
+
+
+def row_texts(rows: DataFrame, items: DataFrame, actions: DataFrame) -> DataFrame:
+    """(doc_id, row_ix, item_ix, action, specification, result) of rows after filling.
+
+    A matched row takes the item's specification, be it empty, and its result, unless that is empty: then the old one
+    stays. An appended row has the item's texts. ``rows`` have specification and, at times, result.
+    """
+    old = rows.select("doc_id", F.col("row_ix").cast("bigint").alias("row_ix"), (T.filled("result") if "result" in rows.columns else F.lit("")).alias("_old"))
+    new = items.select("doc_id", F.col("item_ix").cast("bigint").alias("item_ix"), T.filled("specification").alias("specification"))
+    live = actions.where("action <> 'delete'").join(new, ["doc_id", "item_ix"]).join(old, ["doc_id", "row_ix"], "left")
+    return live.select("doc_id", "row_ix", "item_ix", "action", "specification", F.when(F.col("result") != "", F.col("result")).otherwise(T.filled("_old")).alias("result"))
+
+
+def label_counts(rows: DataFrame) -> DataFrame:
+    """Rows with ``n_label``, how many rows of their document have their label."""
+    return keyed_rows(rows).withColumn("n_label", F.count("*").over(Window.partitionBy("doc_id", "param_key")))
+
+
+def grown_rows(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, row_ix, rank, item_ix): rows that grow in place, before any scoring.
+
+    A row grows if its label is the only one of its kind and two items at least hold it: the first item takes the row, the
+    others new ones after it, in the items' order. An item that several rows could take goes to the first of them.
+    """
+    single = label_counts(rows).where("n_label = 1 AND param_key <> ''").select("doc_id", "row_ix", F.col("param_key").alias("_label"))
+    held = keyed_rows(items).select("doc_id", "item_ix", F.col("param_key").alias("_item")).join(single, "doc_id").where(T.holds_run("_label", "_item"))
+    first = held.groupBy("doc_id", "item_ix").agg(F.min("row_ix").alias("row_ix"))
+    row = Window.partitionBy("doc_id", "row_ix")
+    many = first.withColumn("_n", F.count("*").over(row)).where("_n >= 2")
+    return many.select("doc_id", "row_ix", F.row_number().over(row.orderBy("item_ix")).alias("rank"), "item_ix")
 
 
 def fill_report(actions: DataFrame) -> DataFrame:
-    return actions.groupBy("doc_id").agg(F.count_if(F.col("action") == "match").alias("matched"), F.count_if(F.col("action") == "append").alias("appended"), F.count_if(F.col("action") == "delete").alias("deleted"))
+    """Counters of a document's actions; a match with an empty result leaves the row as it was and isn't counted."""
+    return actions.groupBy("doc_id").agg(F.count_if((F.col("action") == "match") & (F.col("result") != "")).alias("matched"), F.count_if(F.col("action") == "append").alias("appended"), F.count_if(F.col("action") == "delete").alias("deleted"))
 
 
 def titled_runs(items: DataFrame) -> DataFrame:

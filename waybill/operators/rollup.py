@@ -42,6 +42,16 @@ def joined_batches(batches: Column, field: str) -> Column:
     return F.array_join(F.filter(F.transform(batches, lambda b: filled(b[field])), lambda x: x != ""), " / ")
 
 
+def exact_sum(value: Column) -> Column:
+    """Aggregate: a sum in millionths, which doesn't depend on the order of adding."""
+    return F.sum(value.cast("decimal(30,6)")).cast("double")
+
+
+def plain_sum(value: Column) -> Column:
+    """Aggregate: the sum with absent values as 0; 0 of nothing."""
+    return F.coalesce(F.sum(F.coalesce(value, F.lit(0.0))), F.lit(0.0))
+
+
 def named_once(name: Column, none: str = "N/A") -> Column:
     """Aggregate: the distinct values that aren't empty, sorted by code point and joined; ``none`` if there are none."""
     all_ = F.array_join(F.array_sort(F.collect_set(F.nullif(name, F.lit("")))), ", ")
@@ -75,6 +85,6 @@ def shipment_totals(shipments: DataFrame) -> DataFrame:
     items = shipment_items(shipments)
     first = F.min_by("currency", "item_ix")
     return items.groupBy("shipment_id").agg(
-        F.count_if("real").alias("n_items"), F.sum(item_total(F.col("quantity_value"), F.col("unit_price"))).alias("grand_total"),
+        F.count_if("real").alias("n_items"), exact_sum(item_total(F.col("quantity_value"), F.col("unit_price"))).alias("grand_total"),
         F.when(first == "", "USD").otherwise(first).alias("currency"), named_once(F.col("manufacturer")).alias("manufacturers"), named_once(F.col("material_name")).alias("materials"),
     )

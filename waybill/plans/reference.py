@@ -119,7 +119,8 @@ def ref_customer_search(spark, d):
 def ref_customer_updates(spark, d):
     """Records updated from later orders' spelling, and those deleted that have no usable text."""
     c = read_table(spark, d, "customers").select("id", "name", "full_text").where("name IS NOT NULL AND full_text IS NOT NULL")
-    changes = c.where(F.length("name") % 3 == 0).select("id", F.upper("name").alias("name"), F.lit("").alias("full_text"))
+    # names of limited companies in capitals; a blank one leaves the name as it is
+    changes = c.select("id", F.when(F.contains("name", F.lit("Limited")), F.upper("name")).otherwise("").alias("name"), F.lit("").alias("full_text"))
     gone = c.where(~F.contains("full_text", F.lit("\n"))).select("id")
     return keyed.delete(keyed.update(c, changes), gone)
 
@@ -131,11 +132,11 @@ def ref_new_customer_ids(spark, d):
 
 
 def ref_amount_words(spark, d):
-    return _orders(spark, d).where("total_price IS NOT NULL").select("po_id", N.amount_words("total_price", F.lit("USD")).alias("words"))
+    return _orders(spark, d).select("po_id", N.amount_words(F.coalesce("total_price", F.lit(0.0)), F.lit("USD")).alias("words"))
 
 
 def ref_money(spark, d):
-    o = _orders(spark, d).where("unit_price IS NOT NULL AND total_price IS NOT NULL")
+    o = _orders(spark, d).fillna(0.0, ["unit_price", "total_price"])
     return o.select("po_id", N.money("total_price").alias("money"), N.general("unit_price").alias("general"))
 
 
@@ -174,9 +175,9 @@ def ref_anchored_lines(spark, d):
 
 
 def ref_clusters(spark, d):
-    """Clusters of the days of orders of each vendor."""
-    days = _orders(spark, d).select("vendor_id", F.col("quantity").cast("int").alias("x")).where("x > 0").distinct()
-    return layout.clusters(days, ["vendor_id"], "x", 25)
+    """Clusters of the quantities ordered from each vendor."""
+    quantities = _orders(spark, d).select("vendor_id", F.coalesce("quantity", F.lit(0.0)).cast("int").alias("x")).distinct()
+    return layout.clusters(quantities, ["vendor_id"], "x", 25)
 
 
 def ref_reading_order(spark, d):
@@ -222,7 +223,8 @@ def ref_unused_fields(spark, d):
 
 def ref_date_actions(spark, d):
     fields = _fields(spark, d)
-    slots = fields.select("doc_id").distinct().where("doc_id % 3 > 0").select("doc_id", F.when(F.col("doc_id") % 3 == 1, "Exp. Date").otherwise("Retest Date").alias("label"))
+    # each document's template has the one date or the other, by how many fields the document has
+    slots = fields.groupBy("doc_id").agg(F.when(F.count("*") % 2 == 0, "Exp. Date").otherwise("Retest Date").alias("label"))
     return matching.date_action(fields, slots)
 
 
@@ -304,12 +306,6 @@ def ref_cell_upserts(spark, d):
     return keyed.upsert_cells(cells, written).select("sheet", "ref", "value", "formula", "style", N.cell_row("ref").alias("row"), N.cell_column("ref").alias("col"))
 
 
-def ref_form_dubai_lines(spark, d):
-    """The form's lines that hold no sum of several items (whose last digit depends on the order of adding)."""
-    kept = ~F.col("text").rlike("^(TOTAL [|]|TOTAL PACKING)")
-    return forms.form_lines(_shipments(spark, d), "dubai").where(kept).select("shipment_id", "form", "document", "text")
-
-
 QUERIES = {k: v for k, v in list(globals().items()) if k.startswith("ref_")} | {f"ref_form_{f}": _form(f) for f in forms.FORMS}
 
 _NORM = "trim(regexp_replace(lower(coalesce({0}, '')), '[^a-z0-9]+', ' ', 'g'))"
@@ -355,9 +351,9 @@ ORACLE = {
     "ref_total_mismatches": f"""WITH {_ORDERS} SELECT po_id, total_price AS stated, round(coalesce(quantity, 0) * coalesce(unit_price, 0), 2) AS computed FROM o WHERE coalesce(total_price, 0) <> 0 AND abs(total_price - coalesce(quantity, 0) * coalesce(unit_price, 0)) > 0.01""",
     "ref_customer_ids": r"""SELECT id, coalesce(nullif(left(regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 40), ''), 'customer') AS slug, coalesce(nullif(regexp_replace(trim(name, E' \t\n'), '[^A-Za-z0-9 _-]', '', 'g'), ''), 'Product') AS stem FROM customers WHERE name IS NOT NULL""",
     "ref_customer_search": "SELECT id, name FROM customers WHERE contains(lower(name), 'trading')",
-    "ref_customer_updates": r"""SELECT id, trim(CASE WHEN length(name) % 3 = 0 THEN upper(name) ELSE name END, E' \t\n') AS name, trim(full_text, E' \t\n') AS full_text FROM customers WHERE name IS NOT NULL AND full_text IS NOT NULL AND contains(full_text, E'\n')""",
-    "ref_money": rf"""WITH {_ORDERS} SELECT po_id, CASE WHEN total_price = floor(total_price) THEN regexp_replace(format('{{:,.2f}}', total_price), '\.00$', '') ELSE format('{{:,.2f}}', total_price) END AS money, format('{{:g}}', unit_price) AS general FROM o WHERE unit_price IS NOT NULL AND total_price IS NOT NULL""",
-    "ref_amount_words": rf"""WITH {_ORDERS}, d AS (SELECT po_id, round_even(total_price, 0)::BIGINT AS n FROM o WHERE total_price IS NOT NULL),
+    "ref_customer_updates": r"""SELECT id, trim(CASE WHEN contains(name, 'Limited') THEN upper(name) ELSE name END, E' \t\n') AS name, trim(full_text, E' \t\n') AS full_text FROM customers WHERE name IS NOT NULL AND full_text IS NOT NULL AND contains(full_text, E'\n')""",
+    "ref_money": rf"""WITH {_ORDERS.replace("* FROM", "po_id, coalesce(total_price, 0) AS total_price, coalesce(unit_price, 0) AS unit_price FROM")} SELECT po_id, CASE WHEN total_price = floor(total_price) THEN regexp_replace(format('{{:,.2f}}', total_price), '\.00$', '') ELSE format('{{:,.2f}}', total_price) END AS money, format('{{:g}}', unit_price) AS general FROM o""",
+    "ref_amount_words": rf"""WITH {_ORDERS}, d AS (SELECT po_id, round_even(coalesce(total_price, 0), 0)::BIGINT AS n FROM o),
         ones AS (SELECT {str(N.ONES)} AS a, {str(N.TENS)} AS b),
         p AS (SELECT po_id, n, s.k, s.name, CASE s.k WHEN 0 THEN n % 1000 WHEN 1 THEN n // 1000 % 1000 WHEN 2 THEN n // 1000000 % 1000 ELSE n // 1000000000 END AS v FROM d, (VALUES (3, ' BILLION'), (2, ' MILLION'), (1, ' THOUSAND'), (0, '')) s(k, name)),
         w AS (SELECT po_id, n, k, concat_ws(' ', CASE WHEN v >= 100 THEN a[v // 100 + 1] || ' HUNDRED' END, CASE WHEN v % 100 >= 20 THEN b[v % 100 // 10 + 1] WHEN v % 100 > 0 THEN a[v % 100 + 1] END, CASE WHEN v % 100 >= 20 AND v % 10 > 0 THEN a[v % 10 + 1] END) || name AS x FROM p, ones WHERE v > 0)
@@ -372,7 +368,7 @@ ORACLE = {
         SELECT doc_id, box_ix, count(*) AS n, min(word_ix)::INT AS first_word FROM words, b WHERE (x0 + x1) / 2 BETWEEN bx0 AND bx1 AND (top + bottom) / 2 BETWEEN btop AND bbottom GROUP BY ALL""",
     "ref_words_outside_boxes": f"""WITH {WORDS_SQL}, b AS (SELECT * FROM (VALUES (0.0, 18.0, 60.0, 75.0), (0.0, 90.0, 25.0, 190.0)) b(bx0, btop, bx1, bbottom))
         SELECT doc_id, count(*) AS n, sum(word_ix)::BIGINT AS ids FROM words WHERE NOT EXISTS (SELECT 1 FROM b WHERE x0 >= bx0 - 1 AND x1 <= bx1 + 1 AND top >= btop - 1 AND bottom <= bbottom + 1) GROUP BY doc_id""",
-    "ref_clusters": f"""WITH {_ORDERS}, x AS (SELECT DISTINCT vendor_id, trunc(quantity)::INT AS x FROM o WHERE trunc(quantity) > 0),
+    "ref_clusters": f"""WITH {_ORDERS}, x AS (SELECT DISTINCT vendor_id, trunc(coalesce(quantity, 0))::INT AS x FROM o),
         f AS (SELECT *, CASE WHEN x - lag(x) OVER w > 25 THEN 1 ELSE 0 END AS new FROM x WINDOW w AS (PARTITION BY vendor_id ORDER BY x)),
         g AS (SELECT *, sum(new) OVER (PARTITION BY vendor_id ORDER BY x ROWS UNBOUNDED PRECEDING) AS cluster_ix FROM f)
         SELECT vendor_id, cluster_ix::BIGINT AS cluster_ix, trunc(avg(x))::INT AS centre, count(*) AS n FROM g GROUP BY vendor_id, cluster_ix""",
@@ -390,7 +386,7 @@ ORACLE = {
         SELECT doc_id, row_ix, param_key, dense_rank() OVER (PARTITION BY doc_id ORDER BY run)::INT AS group_ix, row_number() OVER (PARTITION BY doc_id, run ORDER BY row_ix)::INT AS rank FROM h WHERE n >= 2 AND param_key <> ''""",
     "ref_date_actions": f"""WITH {_FIELDS}, n AS (SELECT doc_id, string_split({_NORM.format("label")}, ' ') AS w, value FROM f),
         s AS (SELECT doc_id, bool_or(list_contains(w, 'date') AND list_has_any(w, ['exp', 'expiry', 'expiration'])) AS e, bool_or(list_contains(w, 'date') AND regexp_matches(array_to_string(w, ''), '{"|".join(T.RETEST_WORDS)}')) AS r FROM n WHERE trim(value) <> '' GROUP BY doc_id),
-        d AS (SELECT DISTINCT doc_id FROM f), t AS (SELECT doc_id, doc_id % 3 = 1 AS te, doc_id % 3 = 2 AS tr FROM d WHERE doc_id % 3 > 0),
+        t AS (SELECT doc_id, count(*) % 2 = 0 AS te, count(*) % 2 = 1 AS tr FROM f GROUP BY doc_id),
         j AS (SELECT doc_id, coalesce(e, false) AS e, coalesce(r, false) AS r, coalesce(te, false) AS te, coalesce(tr, false) AS tr FROM s FULL JOIN t USING (doc_id))
         SELECT doc_id, CASE WHEN e AND NOT r AND NOT te THEN 'retest_to_expiry' WHEN NOT e AND r AND tr THEN 'rename_source' WHEN NOT e AND r THEN 'expiry_to_retest' ELSE 'none' END AS action FROM j""",
     "ref_compared_origins": f"""WITH {_FIELDS}, {SHIPMENTS_SQL}, l AS (SELECT doc_id, CASE {_NORM.format("label")} WHEN 'country of origin' THEN 'origin' WHEN 'manufacturer' THEN 'manufacturer' END AS field, min(CASE WHEN trim(f.value) <> '' THEN f.value END) AS lv FROM f JOIN c ON c.coa_id = f.doc_id AND c.shipment_id IS NOT NULL GROUP BY 1, 2 HAVING field IS NOT NULL),
@@ -399,19 +395,10 @@ ORACLE = {
     "ref_sheet_values": f"""WITH {_ORDERS}, x AS (SELECT po_id, {_TRIM.format("coalesce(product_name, '')")} AS p, {_TRIM.format("coalesce(origin_country, '')")} AS c, coalesce(quantity, 0) AS q, coalesce(unit_price, 0) AS u, lower({_TRIM.format("coalesce(shipment_mode, '')")}) AS m FROM o)
         SELECT po_id, p AS b16, c AS b22, 'full' AS a26, CASE WHEN m LIKE 'sea%' THEN 'BL Telex Release:' ELSE 'AWB:' END AS a27, CASE WHEN lower(trim(c)) = 'china' THEN 'CCPIT' ELSE 'CoC' END AS c33, 'Origin: ' || c AS b38, '' AS d10,
           CASE WHEN replace(p, ',', '') = '' THEN '0.0' ELSE coalesce(round(try_cast(replace(p, ',', '') AS DOUBLE) * 2, 4)::VARCHAR, '') END AS d11, round(q * u, 4) AS c11, round(-(q + 1) / 2, 4) AS d9 FROM x""",
-    "ref_known_labels": rf"""WITH {_FIELDS}, l AS (SELECT DISTINCT label, {_TRIM.format("label")} AS t FROM f), k AS (SELECT label, t, {_TRIM.format("regexp_replace(t, '[.\-]+$', '')")} AS x FROM l)
+    "ref_known_labels": rf"""WITH {_FIELDS}, l AS (SELECT DISTINCT label, {_TRIM.format("label")} AS t FROM f), k AS (SELECT label, t, {_TRIM.format(r"regexp_replace(t, '[.\-]+$', '')")} AS x FROM l)
         SELECT label, CASE WHEN x <> '' AND NOT regexp_matches(x, '[:：]') AND length(x) <= 45 AND regexp_matches(x, '{_KNOWN}') THEN x END AS known, CASE WHEN NOT regexp_matches(label, '[:：]') AND length(t) BETWEEN 1 AND 60 THEN t END AS bare FROM k""",
     "ref_fitted_lines": rf"""WITH l AS (SELECT id, list_filter(list_transform(string_split(full_text, E'\n'), lambda x: {_TRIM.format("x")}), lambda x: x <> '') AS l FROM customers WHERE full_text IS NOT NULL)
         SELECT id, CASE WHEN len(l) <= 3 THEN array_to_string(list_resize(l, 3, ''), '|') ELSE l[1] || '|' || l[2] || '|' || array_to_string(l[3:], ', ') END AS block FROM l""",
     "ref_cell_upserts": f"""WITH {_ORDERS} SELECT po_id::VARCHAR AS sheet, ref, CASE ref WHEN 'B8' THEN coalesce(product_name, '') WHEN 'B9' THEN '0' WHEN 'C10' THEN '' ELSE 'new' END AS value, CASE ref WHEN 'C10' THEN '=B9*B10' END AS formula, CASE WHEN ref <> 'AA12' THEN 's1' END AS style, CASE ref WHEN 'B8' THEN 8 WHEN 'B9' THEN 9 WHEN 'C10' THEN 10 ELSE 12 END AS row, CASE ref WHEN 'C10' THEN 3 WHEN 'AA12' THEN 27 ELSE 2 END AS col
         FROM o, (VALUES ('B8'), ('B9'), ('C10'), ('AA12')) r(ref)""",
-    "ref_form_dubai_lines": f"""WITH {ITEMS_SQL}, one AS (SELECT s.shipment_id, k.item_ix, k.item FROM s LEFT JOIN k ON s.shipment_id = k.shipment_id),
-        t AS (SELECT shipment_id, sum(coalesce(item.quantity_value, 0) * coalesce(item.unit_price, 0)) AS total, coalesce(nullif(array_to_string(list_sort(list(DISTINCT item.manufacturer) FILTER (item.manufacturer <> '')), ', '), ''), 'N/A') AS makers FROM one GROUP BY 1),
-        lines AS (
-          SELECT shipment_id, d AS document, 0 AS a, 0 AS b, 'INV No.:   ' || coalesce(nullif(invoice_no, ''), 'N/A') || E'\\n\\nDATED:  ' || coalesce(nullif(invoice_date, ''), 'N/A') AS text FROM s, (VALUES ('invoice'), ('packing')) v(d)
-          UNION ALL SELECT shipment_id, d, 0, 1, coalesce(nullif(upper(origin), ''), 'N/A') FROM s, (VALUES ('invoice'), ('packing')) v(d)
-          UNION ALL SELECT shipment_id, d, 1, item_ix, concat(array_to_string(list_filter(list_transform(item.batches, lambda x: coalesce(x.batch_no, '')), lambda y: y <> ''), ' / '), ' | ', array_to_string(list_filter(list_transform(item.batches, lambda x: coalesce(x.manufacturing_date, '')), lambda y: y <> ''), ' / '), ' | ', array_to_string(list_filter(list_transform(item.batches, lambda x: coalesce(x.expiry_date, '')), lambda y: y <> ''), ' / '), ' | ', item.quantity_text, ' | ', item.material_name, ' | ', item.quantity_text, ' | ',
-            CASE d WHEN 'invoice' THEN concat(coalesce(nullif(item.currency, ''), 'USD'), ' ', format('{{:g}}', coalesce(item.unit_price, 0)), ' / ', item.unit, ' | ', CASE WHEN coalesce(item.quantity_value, 0) * coalesce(item.unit_price, 0) = floor(coalesce(item.quantity_value, 0) * coalesce(item.unit_price, 0)) THEN format('{{:,.0f}}', coalesce(item.quantity_value, 0) * coalesce(item.unit_price, 0)) ELSE format('{{:,.2f}}', coalesce(item.quantity_value, 0) * coalesce(item.unit_price, 0)) END) ELSE concat(item.gross_weight_text, ' | ', item.net_weight_text) END) FROM k, (VALUES ('invoice'), ('packing')) v(d)
-          UNION ALL SELECT shipment_id, 'invoice', 2, 1, 'MANUFACTURED BY: ' || makers FROM t
-        ) SELECT shipment_id, 'dubai' AS form, document, text FROM lines""",
 }

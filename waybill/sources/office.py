@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waybill.session import python_trim
+
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 DOCX_SCHEMA = "path string, kind string, table_ix int, row_ix int, cell_ix int, depth int, para_ix int, text string, error string"
@@ -109,8 +111,8 @@ def read_xlsx(files: DataFrame) -> DataFrame:
 
 def docx_text(rows: DataFrame) -> DataFrame:
     """(path, text): non-blank paragraphs, then table rows as ' | '-joined cells; rows of nested tables before their host."""
-    paragraphs = rows.where("kind = 'paragraph' AND trim(text) <> ''").select("path", F.lit(0).alias("a"), F.col("para_ix").alias("b"), F.lit(0).alias("c"), "text")
-    cells = F.transform(F.array_sort(F.collect_list(F.struct("cell_ix", F.trim("text").alias("t")))), lambda x: x["t"])
+    paragraphs = rows.where((F.col("kind") == "paragraph") & (python_trim("text") != "")).select("path", F.lit(0).alias("a"), F.col("para_ix").alias("b"), F.lit(0).alias("c"), "text")
+    cells = F.transform(F.array_sort(F.collect_list(F.struct("cell_ix", python_trim("text").alias("t")))), lambda x: x["t"])
     lines = rows.where("kind = 'cell'").groupBy("path", "table_ix", "row_ix").agg(cells.alias("cells")).where(F.exists("cells", lambda t: t != ""))
     lines = lines.select("path", F.lit(1).alias("a"), F.col("table_ix").alias("b"), F.col("row_ix").alias("c"), F.array_join("cells", " | ").alias("text"))
     return paragraphs.unionByName(lines).groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("a", "b", "c", "text"))), lambda x: x["text"]), "\n").alias("text"))
