@@ -130,6 +130,11 @@ def test_rows_assigned_best_first(spark):
     assert {(r["row_ix"], r["item_ix"]) for r in got.collect()} == {(0, 1), (1, 0)}
     report = matching.fill_report(matching.row_actions(rows, items, got)).where("doc_id = 1").first()
     assert (report["matched"], report["appended"], report["deleted"]) == (2, 1, 1)
+    told = items.withColumn("result", F.when(F.col("item_ix") == 1, "99.1 %").otherwise(""))
+    actions = matching.row_actions(rows, told, got)
+    assert matching.fill_report(actions).where("doc_id = 1").first()["matched"] == 1  # an empty result leaves the row as it was
+    texts = {r["row_ix"]: (r["specification"], r["result"]) for r in matching.row_texts(rows.withColumn("result", F.lit("old")), told, actions).where("action = 'match'").collect()}
+    assert texts == {0: ("98 - 102", "99.1 %"), 1: ("<0.10%", "old")}
 
 
 def test_groups_align_by_rank(spark):

@@ -211,16 +211,16 @@ def assign_rows(rows: DataFrame, items: DataFrame, cutoff: float = ROW_CUTOFF) -
 def row_actions(rows: DataFrame, items: DataFrame, assigned: DataFrame) -> DataFrame:
     """(doc_id, row_ix, item_ix, action, anchor_ix, result): matched rows, rows to delete and items to append after the last row.
 
-    ``result`` is the item's result text, '' if it has none and for rows to delete.
+    ``result`` is the item's result text, '' if it has none and for rows to delete, null where items come without results.
     """
     matched = assigned.select("doc_id", "row_ix", "item_ix", F.lit("match").alias("action"), F.col("row_ix").alias("anchor_ix"))
     gone = rows.select("doc_id", "row_ix").join(assigned, ["doc_id", "row_ix"], "left_anti").select("doc_id", "row_ix", F.lit(None).cast("bigint").alias("item_ix"), F.lit("delete").alias("action"), F.col("row_ix").alias("anchor_ix"))
     last = rows.groupBy("doc_id").agg(F.max("row_ix").alias("anchor_ix"))
     new = items.select("doc_id", "item_ix").join(assigned, ["doc_id", "item_ix"], "left_anti").join(last, "doc_id").select("doc_id", F.lit(None).cast("bigint").alias("row_ix"), "item_ix", F.lit("append").alias("action"), "anchor_ix")
     long = lambda d: d.select("doc_id", F.col("row_ix").cast("bigint"), F.col("item_ix").cast("bigint"), "action", F.col("anchor_ix").cast("bigint"))
-    texts = items.select("doc_id", F.col("item_ix").cast("bigint").alias("item_ix"), (T.filled("result") if "result" in items.columns else F.lit("")).alias("result"))
+    texts = items.select("doc_id", F.col("item_ix").cast("bigint").alias("item_ix"), (T.filled("result") if "result" in items.columns else F.lit(None).cast("string")).alias("result"))
     every = long(matched).unionByName(long(gone)).unionByName(long(new))
-    return every.join(texts, ["doc_id", "item_ix"], "left").select("doc_id", "row_ix", "item_ix", "action", "anchor_ix", T.filled("result").alias("result"))
+    return every.join(texts, ["doc_id", "item_ix"], "left").select("doc_id", "row_ix", "item_ix", "action", "anchor_ix", F.when(F.col("item_ix").isNull(), "").otherwise(F.col("result")).alias("result"))
 
 
 def row_texts(rows: DataFrame, items: DataFrame, actions: DataFrame) -> DataFrame:
@@ -256,7 +256,7 @@ def grown_rows(rows: DataFrame, items: DataFrame) -> DataFrame:
 
 def fill_report(actions: DataFrame) -> DataFrame:
     """Counters of a document's actions; a match with an empty result leaves the row as it was and isn't counted."""
-    return actions.groupBy("doc_id").agg(F.count_if((F.col("action") == "match") & (F.col("result") != "")).alias("matched"), F.count_if(F.col("action") == "append").alias("appended"), F.count_if(F.col("action") == "delete").alias("deleted"))
+    return actions.groupBy("doc_id").agg(F.count_if((F.col("action") == "match") & (F.coalesce("result", F.lit("?")) != "")).alias("matched"), F.count_if(F.col("action") == "append").alias("appended"), F.count_if(F.col("action") == "delete").alias("deleted"))
 
 
 def titled_runs(items: DataFrame) -> DataFrame:
