@@ -159,9 +159,9 @@ def _vectors(units: list[str], idf: np.ndarray) -> list[tuple[np.ndarray, np.nda
     return [(b[s:e], value[s:e]) for s, e in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def _ftrl(vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int, alpha: float, beta: float, l1: float, l2: float, seed: int) -> np.ndarray:
-    """Weights by per-coordinate follow-the-regularised-leader with an elastic net."""
-    z, n = np.zeros((BUCKETS, len(LANGUAGES))), np.zeros((BUCKETS, len(LANGUAGES)))
+def _ftrl(vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int, alpha: float, beta: float, l1: float, l2: float, seed: int, state: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """(weights, state) by per-coordinate follow-the-regularised-leader with an elastic net; goes on from a state."""
+    z, n = state or (np.zeros((BUCKETS, len(LANGUAGES))), np.zeros((BUCKETS, len(LANGUAGES))))
 
     def weights(rows) -> np.ndarray:
         zz, nn = z[rows], n[rows]
@@ -183,7 +183,7 @@ def _ftrl(vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epoc
             sigma = (np.sqrt(n[rows] + g * g) - np.sqrt(n[rows])) / alpha
             z[rows] += g - sigma * w
             n[rows] += g * g
-    return weights(slice(None))
+    return weights(slice(None)), (z, n)
 
 
 #: Temperatures tried by :func:`calibrate`.
@@ -235,12 +235,20 @@ def train(sentences: list[tuple[str, str]], epochs: int = 3, alpha: float = 0.3,
     keep = np.ones(len(units), dtype=bool)
     for last in (False, False, True):
         use = np.flatnonzero(keep)
-        w = _ftrl([vectors[i] for i in use], labels[use], epochs if last else 1, alpha, beta, l1, l2, seed)
+        w, state = _ftrl([vectors[i] for i in use], labels[use], epochs if last else 1, alpha, beta, l1, l2, seed)
         scores = np.array([x @ w[rows] for rows, x in vectors])
         keep = scores.argmax(axis=1) == labels  # the rest are wrong labels and foreign sentences
-    model = Model((w * idf[:, None] * SCALE).astype(np.float32), idf.astype(np.float32), 1.0)
-    model.temperature, model.wrong_labels = calibrate(model.scores([u for _, u in held]), np.array([LANGUAGES.index(lang) for lang, _ in held], dtype=np.int64))
-    return model
+    fixed = idf.astype(np.float32)
+    weighted = lambda x: (x * idf[:, None] * SCALE).astype(np.float32)
+    held_labels = np.array([LANGUAGES.index(lang) for lang, _ in held], dtype=np.int64)
+    held_scores = Model(weighted(w), fixed, 1.0).scores([u for _, u in held])
+    temperature, wrong = calibrate(held_scores, held_labels)
+    # once they have told the temperature, the held-out sentences that the model confirms are learned as well
+    late = np.flatnonzero(held_scores.argmax(axis=1) == held_labels) if len(held) else []
+    if len(late):
+        more = _vectors([held[i][1] for i in late], idf)
+        w, _ = _ftrl(more, held_labels[late], epochs, alpha, beta, l1, l2, seed, state)
+    return Model(weighted(w), fixed, temperature, wrong)
 
 
 def sample_sentences(documents: DataFrame, per_language: int, sentences: int, seed: int = 7) -> list[tuple[str, str]]:
