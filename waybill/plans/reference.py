@@ -125,12 +125,6 @@ def ref_customer_updates(spark, d):
     return keyed.delete(keyed.update(c, changes), gone)
 
 
-def ref_new_customer_ids(spark, d):
-    """Ids for the consignees' names, as added after the customers there are."""
-    new = _orders(spark, d).select(F.split_part("consignee", F.lit("\n"), F.lit(1)).alias("name")).where("trim(name) <> ''").distinct()
-    return keyed.with_ids(new, read_table(spark, d, "customers").select("id")).select("name", "id")
-
-
 def ref_amount_words(spark, d):
     return _orders(spark, d).select("po_id", N.amount_words(F.coalesce("total_price", F.lit(0.0)), F.lit("USD")).alias("words"))
 
@@ -250,11 +244,6 @@ def ref_row_groups(spark, d):
     return matching.row_groups(rows).select("doc_id", "row_ix", "param_key", "group_ix", "rank")
 
 
-def ref_aligned_groups(spark, d):
-    items = _results(spark, d)
-    return matching.align_groups(_rows(items), items)
-
-
 def ref_titled_runs(spark, d):
     return matching.titled_runs(_results(spark, d))
 
