@@ -105,3 +105,15 @@ def test_large_cells_and_large_entities_give_the_same(spark):
 def test_distances_of_letters_beyond_latin():
     assert distances("гумир", *encode(["гумир", "гумар", "лафат", "ab"])).tolist() == [0, 1, 5, 5]
     assert distances("ab", *encode(["гб", "ab"])).tolist() == [2, 0]
+
+
+def test_one_edit_joins_without_distances_to_pivots(spark, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("pivots were drawn")
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", refuse)
+    random.seed(8)
+    words = sorted({"".join(random.choice("aabbc") for _ in range(random.randint(1, 7))) for _ in range(250)} | {"名称", "名", "称名", "x" * 300, "x" * 299, "ßü", "üß"})
+    got = metric_join(spark.createDataFrame([*enumerate(words), (500, words[0]), (None, "a"), (501, ""), (502, None)], "id long, s string"))
+    want = {(i, j) for i in range(len(words)) for j in range(i + 1, len(words)) if plain_distance(words[i], words[j]) <= 1} | {(0, 500)}
+    assert sorted(map(tuple, got.collect())) == sorted(want)

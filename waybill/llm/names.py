@@ -1,8 +1,9 @@
-"""Spellings of the same organisation, linked by exact radius joins inside cells of a metric space.
+"""Spellings of the same organisation, linked by exact radius joins in a metric space.
 
 A name is taken apart (forms of address, branch notes, legal form, line of business) down to the words that are its
 own. The folded own words, joined, are points of a metric space under the unrestricted Damerau-Levenshtein distance,
-which is a true metric. Pivots are drawn from the points; each point goes home to its nearest pivot and is copied to
+which is a true metric. Within a radius of 1, which names have, points meet by what one deletion leaves of them. For
+larger radii pivots are drawn from the points; each point goes home to its nearest pivot and is copied to
 every cell where the triangle inequality doesn't rule out a neighbour within the radius. Inside a cell, all pairs within
 the radius are found exactly. Equal points collapse first, so copies cost nothing; links give components, with partial names (an initial or nothing
 for a word) joined to the one full name that they can mean.
@@ -17,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waybill.operators.graph import connected_components
@@ -247,10 +248,31 @@ def _join_large(cells: DataFrame, radius: int) -> DataFrame:
     return met.where(near("xs", "ys")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
+def _join_by_deletions(strings: DataFrame) -> DataFrame:
+    """(a, b): ids of distinct strings (s, id) within one edit, exactly, at a cost in proportion to the strings.
+
+    One edit apart, swaps too, strings share what a deletion of at most one letter leaves; those that do are measured.
+    Only hashes of it are shuffled, and each string meets those before it that have the same, in one sort.
+    """
+
+    @F.pandas_udf("boolean")
+    def near(one: pd.Series, two: pd.Series) -> pd.Series:
+        return pd.Series([one_edit(x, y) for x, y in zip(one, two, strict=True)], dtype=bool)
+
+    n = F.length("s")
+    without = lambda k: F.xxhash64(F.concat(F.substring("s", F.lit(1), k), F.substring("s", k + 2, n)))
+    opened = strings.select("id", "s", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), n), without))).alias("d"))
+    before = Window.partitionBy("d").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    met = opened.withColumn("others", F.collect_list(F.struct(F.col("id").alias("x"), F.col("s").alias("xs"))).over(before))
+    pairs = met.where(F.size("others") > 0).select(F.col("id").alias("y"), F.col("s").alias("ys"), F.inline("others")).where("x <> y")
+    return pairs.where(near("xs", "ys")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def metric_join(points: DataFrame, radius: int = RADIUS, per_pivot: int = PER_PIVOT, seed: int = 5, most: int = CELL_MOST) -> DataFrame:
     """(a, b), a < b: ids of points (id, s) whose strings are within the radius.
 
-    Pivots are a sample, one for ``per_pivot`` strings, at most ``PIVOTS`` (which bounds their broadcast); any choice
+    Within a radius of 1 strings meet by deletions, without pivots: distances to pivots, whose number follows the
+    strings', grow with the square of the data. For larger radii, pivots are a sample, one for ``per_pivot`` strings, at most ``PIVOTS`` (which bounds their broadcast); any choice
     gives the same links, only the cells differ. A cell of over ``most`` strings is joined by all tasks, exactly as well. Points with null or empty strings have no links. Equal strings collapse
     before the join and link as a star.
 
@@ -261,7 +283,9 @@ def metric_join(points: DataFrame, radius: int = RADIUS, per_pivot: int = PER_PI
     spark = points.sparkSession
     points = cut(points.select("id", "s").where("id IS NOT NULL AND s <> ''").distinct())
     strings = cut(points.groupBy("s").agg(F.min("id").alias("id")))
-    stars = points.join(strings.select("s", F.col("id").alias("rep")), "s").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    stars = points.join(strings.select("s", F.col("id").alias("rep")), "s").where("id <> rep").select(F.least("rep", "id").alias("a"), F.greatest("rep", "id").alias("b"))
+    if radius == 1:
+        return _join_by_deletions(strings).unionByName(stars).distinct()
     wanted = min(PIVOTS, max(24, strings.count() // per_pivot))
     drawn = [r["s"] for r in strings.orderBy(F.xxhash64("s", F.lit(seed)), "s").select("s").limit(wanted).collect()]
     shared = spark.sparkContext.broadcast(drawn)
@@ -293,7 +317,7 @@ def metric_join(points: DataFrame, radius: int = RADIUS, per_pivot: int = PER_PI
     links = small.groupBy("cell").applyInPandas(join, "a long, b long")
     if large:
         links = links.unionByName(_join_large(cells.where(F.col("cell").isin(large)), radius))
-    return links.unionByName(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    return links.unionByName(stars).distinct()
 
 
 def link_names(names: DataFrame, name: str = "name") -> DataFrame:
