@@ -187,6 +187,36 @@ def test_layout_folds_and_boxes(spark):
     assert words.agg(layout.upper_median("top").alias("m")).first()["m"] == 5.5
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_anchored_lines_of_many_batches_without_a_join(spark):
+    r = random.Random(3)
+    # equal numbers of words, null and NaN sizes and tops, pages longer than an Arrow batch
+    odd = lambda x: r.choice([x, x, x, x, x, None, float("nan")])
+    rows = [(d, 1, i % 90, f"w{i}", float(i % 7), odd(r.randint(0, 400) / 2), odd(float(r.randint(2, 9)))) for d in range(3) for i in range(100)]
+    words = spark.createDataFrame(rows, "doc_id long, page int, word_ix long, text string, x0 double, top double, size double")
+    big = lambda x: (x is not None, x != x, 0 if x != x else x or 0)  # noqa: E731  nulls first, NaN last
+    want = []
+    for d in range(3):
+        line, first, largest = -1, None, None
+        for row in sorted((x for x in rows if x[0] == d), key=lambda x: (big(x[5]), x[4], x[2], big(x[6]), x[3])):
+            top, size = row[5], row[6]
+            near = line >= 0 and None not in (top, first, largest) and (largest != largest or top - first <= 0.6 * largest)
+            line, first, largest = (line, first, max((largest, size), key=big)) if near else (line + 1, top, size)
+            want.append((d, row[3], line))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+        got = layout.anchored_lines(words)
+        assert got.columns[:4] == ["doc_id", "page", "word_ix", "line_ix"]
+        assert sorted((x["doc_id"], x["text"], x["line_ix"]) for x in got.collect()) == sorted(want)
+        assert "Join" not in plan_of(got)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_forms_have_lines_for_each_shipment(spark, sf):
     s = spark.read.parquet(f"{sf}/shipments.parquet").dropDuplicates(["shipment_id"])
     for form, kinds in forms.FORMS.items():

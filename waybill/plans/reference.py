@@ -165,7 +165,8 @@ def ref_words_outside_boxes(spark, d):
 
 
 def ref_anchored_lines(spark, d):
-    return layout.anchored_lines(_words(spark, d)).groupBy("doc_id").agg(F.max("line_ix").alias("last_line"), F.count("*").alias("n"))
+    words = _words(spark, d).drop("x1", "bottom", "fontname")
+    return layout.anchored_lines(words).groupBy("doc_id").agg(F.max("line_ix").alias("last_line"), F.count("*").alias("n"))
 
 
 def ref_clusters(spark, d):
