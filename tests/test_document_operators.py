@@ -123,6 +123,33 @@ def test_four_passes_of_a_header(spark):
     assert matching.unused_fields(got, fields).count() == 0
 
 
+def test_slots_and_unused_fields_are_never_broadcast(spark, sf):
+    from waybill.plans import reference
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        for query in (reference.ref_slot_actions, reference.ref_unused_fields):
+            got = query(spark, sf)
+            plan = plan_of(got)
+            assert "Broadcast" not in plan
+            assert plan.count("Scan parquet") <= 8
+        # a document without fields, one without slots, one without lines, lines that share a field over two paragraphs
+        fields = spark.createDataFrame([(1, 0, "Grade", "a"), (1, 1, "grade", "b"), (2, 0, "Lot", "c"), (3, 0, "Fax", "d")], "doc_id long, field_ix int, label string, value string")
+        slots = lambda *rows: spark.createDataFrame([*rows], "doc_id long, slot_ix int, label string")
+        lines = spark.createDataFrame([(1, 0, 5, "Grade x"), (1, 1, 6, "Grade y"), (4, 0, 5, "Lot 3"), (3, 0, 5, "Fax 1")], "doc_id long, para_ix int, slot_ix int, label string")
+        got = matching.fill_slots(slots((4, 0, "Lot"), (2, 0, "Lot"), (2, 1, None)), slots((1, 8, "Grade"), (3, 8, "Hall")), slots((3, 9, "Fax")), fields, lines)
+        assert sorted((r["doc_id"], r["pass"], r["slot_ix"], r["action"], r["new_value"]) for r in got.collect()) == [
+            (1, 2, 5, "fill", "b"), (1, 2, 6, "keep", None), (1, 3, 8, "keep", None),
+            (2, 1, 0, "fill", "c"), (2, 1, 1, "clear", ""),
+            (3, 2, 5, "fill", "d"), (3, 3, 8, "clear", ""), (3, 4, 9, "fill", "d"),
+            (4, 1, 0, "clear", ""), (4, 2, 5, "keep", None),
+        ]
+        assert matching.fill_slots(slots((2, 0, "Lot")), slots((2, 1, "Lot")), slots((2, 2, "Lot")), fields).where("action = 'keep'").collect()[0]["slot_ix"] == 1
+        assert matching.unused_fields(got, fields).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_rows_assigned_best_first(spark):
     rows = spark.createDataFrame([(1, 0, "Assay", ""), (1, 1, "Single impurity", "<0.10%"), (1, 2, "Impurity B", "<0.10%")], "doc_id long, row_ix int, parameter string, specification string")
     items = spark.createDataFrame([(1, 0, "Any individual impurity", "<0.10%"), (1, 1, "Assay (By HPLC, %w/w)", "98 - 102"), (1, 2, "pH", "5 - 7"), (2, 0, None, None)], "doc_id long, item_ix int, parameter string, specification string")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import difflib
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -45,18 +46,20 @@ def candidates(fields: DataFrame) -> DataFrame:
     return n.groupBy("doc_id", "key").agg(F.min("field_ix").alias("ord"), F.max_by("value", "field_ix").alias("value"))
 
 
-def best_matches(slots: DataFrame, fields: DataFrame, cutoff: float = LABEL_CUTOFF) -> DataFrame:
-    """Slots (doc_id, slot_ix, label) with the ``key``, ``value`` and ``tier`` of the field that fits best, null if none does.
+def best_matches(slots: DataFrame, fields: DataFrame, cutoff: float = LABEL_CUTOFF, by: tuple[str, ...] = ("doc_id", "slot_ix")) -> DataFrame:
+    """Slots (doc_id, slot_ix, label), one for each ``by``, with the ``key``, ``value`` and ``tier`` of the field that fits best, null if none does.
 
     Tiers, the first that fits: 0 equal, 1 equal words after synonyms, 2 the only one whose words hold or are held,
     3 likeness of spelling among the three likest unless only a 're' differs, 4 words in common, 5 the only weight or quantity.
-    An empty label fits nothing; null labels count as empty.
+    An empty label fits nothing; null labels count as empty. Both sides grow with the documents, so the join is a merge,
+    whatever the planner makes of the bytes stored.
     """
     q = slots.withColumn("query", T.normalize("label"))
     keys = candidates(fields).select("doc_id", "key", "ord", F.col("value").alias("_value"))
     prepared = keys.withColumn("k_canon", T.canonical_words("key")).withColumn("k_set", F.array_distinct("k_canon")).withColumn("k_words", F.array_distinct(T.words("key")))
     queries = q.withColumn("q_canon", T.canonical_words("query")).withColumn("q_set", F.array_distinct("q_canon")).withColumn("q_words", F.array_distinct(T.words("query")))
-    pairs = queries.where("query <> ''").join(prepared, "doc_id")
+    of = prepared.withColumnRenamed("doc_id", "_doc").hint("merge")
+    pairs = queries.join(of, (F.col("doc_id") == F.col("_doc")) & (F.col("query") != ""), "left")
     within = lambda a, b: F.size(F.array_except(a, b)) == 0
     pairs = (
         pairs.withColumn("e1", (F.size("q_canon") > 0) & (F.col("q_canon") == F.col("k_canon")))
@@ -66,41 +69,34 @@ def best_matches(slots: DataFrame, fields: DataFrame, cutoff: float = LABEL_CUTO
         .withColumn("q5", F.array_contains("q_canon", "qty") & F.array_contains("k_canon", "qty"))
         .withColumn("m5", F.arrays_overlap("k_canon", F.array(*[F.lit(w) for w in T.MOLECULAR])))
     )
-    slot = Window.partitionBy("doc_id", "slot_ix")
+    slot = Window.partitionBy(*by)
     ranked = slot.orderBy(F.desc("s3"), F.desc("key"))
     n5 = F.count_if(F.col("q5") & ~F.col("m5")).over(slot)
     tier = (
-        F.when(F.col("query") == F.col("key"), 0)
+        F.when(F.col("key").isNull(), None)
+        .when(F.col("query") == F.col("key"), 0)
         .when(F.col("e1"), 1)
         .when(F.col("e2") & (F.count_if("e2").over(slot) == 1), 2)
         .when((F.col("s3") >= cutoff) & (F.row_number().over(ranked) <= 3) & ~T.differs_by_re("query", "key"), 3)
         .when(F.col("s4") >= 0.8, 4)
         .when(F.col("q5") & ((~F.col("m5") & (n5 == 1)) | ((n5 == 0) & (F.count_if("q5").over(slot) == 1))), 5)
     )
-    rated = pairs.withColumn("tier", tier).where("tier IS NOT NULL")
-    order = Window.partitionBy("doc_id", "slot_ix").orderBy("tier", F.when(F.col("tier") == 3, -F.col("s3")).when(F.col("tier") == 4, -F.col("s4")).otherwise(0.0), F.when(F.col("tier") == 3, F.rank().over(ranked)).otherwise(F.col("ord")))
-    best = rated.withColumn("_r", F.row_number().over(order)).where("_r = 1").select("doc_id", "slot_ix", "key", F.col("_value").alias("value"), "tier")
-    return slots.join(best, ["doc_id", "slot_ix"], "left")
+    order = slot.orderBy(F.asc_nulls_last("tier"), F.when(F.col("tier") == 3, -F.col("s3")).when(F.col("tier") == 4, -F.col("s4")).otherwise(0.0), F.when(F.col("tier") == 3, F.rank().over(ranked)).otherwise(F.col("ord")))
+    best = pairs.withColumn("tier", tier).withColumn("_r", F.row_number().over(order)).where("_r = 1")
+    fits = lambda c: F.when(F.col("tier").isNotNull(), F.col(c))
+    return best.select(*by, *[c for c in slots.columns if c not in by], fits("key").alias("key"), fits("_value").alias("value"), "tier")
 
 
-def leading_fields(lines: DataFrame, fields: DataFrame, used: DataFrame) -> DataFrame:
-    """(doc_id, slot_ix, key): the field whose own label begins each line without a colon; lines that none begins are left out.
-
-    A line takes the first field not in ``used`` (doc_id, key) nor taken in a paragraph before; of the lines of one
-    paragraph (doc_id, para_ix) that take the same field the last has it. The choice depends on all earlier ones of a
-    document, hence one fold a document over its lines.
-    """
-    left = fields.withColumn("key", T.normalize("label")).join(used, ["doc_id", "key"], "left_anti").select("doc_id", "field_ix", "key", F.col("label").alias("_own"))
-    begun = lines.select("doc_id", "para_ix", "slot_ix", "label").join(left, "doc_id").where(T.leading_label("label", "_own").isNotNull())
-    line = begun.groupBy("doc_id", "para_ix", "slot_ix").agg(F.array_sort(F.collect_set(F.struct("field_ix", "key"))).alias("k"))
-    paragraph = line.groupBy("doc_id", "para_ix").agg(F.collect_list(F.struct(F.col("slot_ix").cast("bigint").alias("slot_ix"), F.transform("k", lambda x: x["key"]).alias("keys"))).alias("l"))
-    taken = """
-        aggregate(p, cast(array() as array<struct<slot_ix: bigint, key: string>>), (acc, x) -> concat(acc,
-            transform(array(transform(x.l, y -> named_struct('slot_ix', y.slot_ix, 'key', get(filter(y.keys, k -> NOT exists(acc, z -> z.key = k)), 0)))),
-                h -> filter(h, y -> y.key IS NOT NULL AND NOT exists(h, z -> z.key <=> y.key AND z.slot_ix > y.slot_ix)))[0]))
-    """
-    docs = paragraph.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("para_ix", "l"))).alias("p"))
-    return docs.select("doc_id", F.inline(F.expr(taken)))
+def begun_lines(lines: DataFrame, fields: DataFrame) -> DataFrame:
+    """(doc_id, p): each document's paragraphs of lines (slot_ix, label) with the fields (key, value) whose own label begins
+    them, in the fields' order. The last value of a label counts."""
+    last = F.max_by("value", "field_ix").over(Window.partitionBy("doc_id", "key"))
+    own = fields.withColumn("key", T.normalize("label")).select(F.col("doc_id").alias("_doc"), "field_ix", "key", F.col("label").alias("_own"), last.alias("value"))
+    begun = lines.select("doc_id", "para_ix", "slot_ix", "label").join(own.hint("merge"), F.col("doc_id") == F.col("_doc"), "left")
+    key = F.when(T.leading_label("label", "_own").isNotNull() & F.col("key").isNotNull(), F.struct("field_ix", "key", "value"))
+    line = begun.groupBy("doc_id", "para_ix", "slot_ix", "label").agg(F.array_sort(F.collect_set(key)).alias("k"))
+    each = F.struct(F.col("slot_ix").cast("bigint").alias("slot_ix"), "label", F.transform("k", lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value"))).alias("keys"))
+    return line.groupBy("doc_id", "para_ix").agg(F.collect_list(each).alias("l")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("para_ix", "l"))).alias("p"))
 
 
 def fill_slots(inline: DataFrame, bare: DataFrame, known: DataFrame, fields: DataFrame, lines: DataFrame | None = None) -> DataFrame:
@@ -110,32 +106,44 @@ def fill_slots(inline: DataFrame, bare: DataFrame, known: DataFrame, fields: Dat
     with ``para_ix``) that a field not used so far begins are filled, others kept; bare labels are filled with fields not
     used so far, kept if theirs is used, by an earlier slot of theirs too, and cleared if they have none; labels known
     without a colon are filled or cleared. ``slot_ix`` is the order in the document.
-    """
 
-    def act(slots: DataFrame, k: int, used: DataFrame | None) -> DataFrame:
-        m = best_matches(slots, fields)
-        taken = F.lit(False)
-        if used is not None:
-            m = m.join(used.withColumn("_used", F.lit(True)), ["doc_id", "key"], "left")
-            taken = F.coalesce(F.col("_used"), F.lit(False)) | (F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("slot_ix")) > 1)
-        action = F.when(F.col("key").isNull(), "clear").when(taken, "keep").otherwise("fill")
-        m = m.withColumn("action", action)
-        new = F.when(F.col("action") == "fill", F.col("value")).when(F.col("action") == "clear", "")
-        return m.select("doc_id", F.lit(k).alias("pass"), "slot_ix", "label", "key", new.alias("new_value"), "action")
-
-    done = act(inline, 1, None)
-    taken = lambda d: d.where("action = 'fill'").select("doc_id", "key").distinct()
-    if lines is not None:
-        values = candidates(fields).select("doc_id", "key", "value")
-        begun = leading_fields(lines, fields, taken(done)).join(values, ["doc_id", "key"])
-        action = F.when(F.col("key").isNull(), "keep").otherwise("fill")
-        done = done.unionByName(lines.select("doc_id", "slot_ix", "label").join(begun, ["doc_id", "slot_ix"], "left").select("doc_id", F.lit(2).alias("pass"), "slot_ix", "label", "key", F.col("value").alias("new_value"), action.alias("action")))
-    return done.unionByName(act(bare, 3, taken(done))).unionByName(act(known, 4, None))
+    A line takes the first field that begins it and isn't used by a slot of pass 1 nor in a paragraph before; of the
+    lines of one paragraph that take the same field the last has it. All slots are matched at once, and the passes are
+    one fold over each document's own slots, so that fields are read once for the slots and once for the lines.
+    """
+    slots = [s.select("doc_id", F.lit(k).alias("pass"), F.col("slot_ix").cast("bigint").alias("slot_ix"), "label") for k, s in ((1, inline), (3, bare), (4, known))]
+    matched = best_matches(slots[0].unionByName(slots[1]).unionByName(slots[2]), fields, by=("doc_id", "pass", "slot_ix"))
+    docs = matched.groupBy("doc_id").agg(F.collect_list(F.struct("pass", "slot_ix", "label", "key", "value")).alias("m"))
+    if lines is None:
+        docs = docs.withColumn("p", F.expr("cast(array() as array<struct<para_ix: int, l: array<struct<slot_ix: bigint, label: string, keys: array<struct<key: string, value: string>>>>>>)"))
+    else:
+        docs = docs.join(begun_lines(lines, fields).hint("merge"), "doc_id", "full_outer").select("doc_id", *[F.coalesce(c, F.array()).alias(c) for c in ("m", "p")])
+    docs = docs.withColumn("used", F.expr("transform(filter(m, x -> x.pass = 1 AND x.key IS NOT NULL), x -> x.key)"))
+    led = """
+        aggregate(p, cast(array() as array<struct<slot_ix: bigint, f: struct<key: string, value: string>>>), (acc, x) -> concat(acc,
+            transform(array(transform(x.l, y -> named_struct('slot_ix', y.slot_ix, 'f', get(filter(y.keys, k -> NOT array_contains(used, k.key) AND NOT exists(acc, z -> z.f.key = k.key)), 0)))),
+                h -> filter(h, y -> y.f IS NOT NULL AND NOT exists(h, z -> z.f.key <=> y.f.key AND z.slot_ix > y.slot_ix)))[0]))
+    """
+    docs = docs.withColumn("led", F.expr(led)).withColumn("used", F.expr("concat(used, transform(led, z -> z.f.key))"))
+    act = """
+        transform(transform(m, x -> named_struct('x', x, 'action', CASE WHEN x.key IS NULL THEN 'clear'
+                WHEN x.pass = 3 AND (array_contains(used, x.key) OR exists(m, y -> y.pass = 3 AND y.key = x.key AND y.slot_ix < x.slot_ix)) THEN 'keep' ELSE 'fill' END)),
+            h -> named_struct('pass', h.x.pass, 'slot_ix', h.x.slot_ix, 'label', h.x.label, 'key', h.x.key,
+                'new_value', CASE h.action WHEN 'fill' THEN h.x.value WHEN 'clear' THEN '' END, 'action', h.action))
+    """
+    line = """
+        transform(transform(flatten(transform(p, x -> x.l)), y -> named_struct('y', y, 'f', get(filter(led, z -> z.slot_ix = y.slot_ix), 0).f)),
+            h -> named_struct('pass', 2, 'slot_ix', h.y.slot_ix, 'label', h.y.label, 'key', h.f.key, 'new_value', h.f.value, 'action', if(h.f.key IS NULL, 'keep', 'fill')))
+    """
+    done = docs.select("doc_id", F.inline(F.concat(F.expr(act), F.expr(line))))
+    every = [s.select("slot_ix") for s in (inline, bare, known, lines) if s is not None]
+    kind = reduce(DataFrame.unionByName, every).schema["slot_ix"].dataType
+    return done.withColumn("slot_ix", F.col("slot_ix").cast(kind))
 
 
 def unused_fields(filled: DataFrame, fields: DataFrame, pairs_per_row: int = 1) -> DataFrame:
     """Fields with a value that no slot took, placed in new rows of ``pairs_per_row`` label-value pairs."""
-    used = filled.where("action = 'fill'").select("doc_id", "key").distinct()
+    used = filled.where("action = 'fill'").select("doc_id", "key").hint("merge")  # grows with the documents: never broadcast
     left = candidates(fields).where(python_trim(T.filled("value")) != "").join(used, ["doc_id", "key"], "left_anti")
     k = F.row_number().over(Window.partitionBy("doc_id").orderBy("ord")) - 1
     return left.withColumn("_k", k).select("doc_id", "key", "value", (F.col("_k") / pairs_per_row).cast("int").alias("row"), (F.col("_k") % pairs_per_row).cast("int").alias("pair"))
