@@ -56,28 +56,34 @@ def best_matches(slots: DataFrame, fields: DataFrame, cutoff: float = LABEL_CUTO
     """
     q = slots.withColumn("query", T.normalize("label"))
     keys = candidates(fields).select("doc_id", "key", "ord", F.col("value").alias("_value"))
-    prepared = keys.withColumn("k_canon", T.canonical_words("key")).withColumn("k_set", F.array_distinct("k_canon")).withColumn("k_words", F.array_distinct(T.words("key")))
+    prepared = keys.withColumn("k_canon", T.canonical_words("key")).withColumn("k_set", F.array_distinct("k_canon")).withColumn("k_words", F.array_distinct(T.words("key"))).withColumn("_anchor", F.min("ord").over(Window.partitionBy("doc_id")) == F.col("ord"))
     queries = q.withColumn("q_canon", T.canonical_words("query")).withColumn("q_set", F.array_distinct("q_canon")).withColumn("q_words", F.array_distinct(T.words("query")))
     of = prepared.withColumnRenamed("doc_id", "_doc").hint("merge")
     pairs = queries.join(of, (F.col("doc_id") == F.col("_doc")) & (F.col("query") != ""), "left")
     within = lambda a, b: F.size(F.array_except(a, b)) == 0
     pairs = (
-        pairs.withColumn("e1", (F.size("q_canon") > 0) & (F.col("q_canon") == F.col("k_canon")))
+        pairs.withColumn("e0", F.col("query") == F.col("key"))
+        .withColumn("e1", (F.size("q_canon") > 0) & (F.col("q_canon") == F.col("k_canon")))
         .withColumn("e2", (F.size("q_set") > 0) & (F.size("k_set") > 0) & (within("q_set", "k_set") | within("k_set", "q_set")))
         .withColumn("s3", ratio("key", "query"))
         .withColumn("s4", F.when((F.size("q_words") > 0) & (F.size("k_words") > 0), F.size(F.array_intersect("q_words", "k_words")) / F.least(F.size("q_words"), F.size("k_words"))).otherwise(0.0))
         .withColumn("q5", F.array_contains("q_canon", "qty") & F.array_contains("k_canon", "qty"))
         .withColumn("m5", F.arrays_overlap("k_canon", F.array(*[F.lit(w) for w in T.MOLECULAR])))
+        .withColumn("re", T.differs_by_re("query", "key"))
     )
+    # only pairs that may fit or count are shuffled, and one for each slot, so that none is lost; no count or rank of
+    # those that may fit depends on the others
+    may_fit = F.col("e0") | F.col("e1") | F.col("e2") | (F.col("s3") >= cutoff) | (F.col("s4") >= 0.8) | F.col("q5")
+    pairs = pairs.where(F.col("key").isNull() | F.col("_anchor") | F.coalesce(may_fit, F.lit(False))).select(*slots.columns, "key", "ord", "_value", "e0", "e1", "e2", "s3", "s4", "q5", "m5", "re")
     slot = Window.partitionBy(*by)
     ranked = slot.orderBy(F.desc("s3"), F.desc("key"))
     n5 = F.count_if(F.col("q5") & ~F.col("m5")).over(slot)
     tier = (
         F.when(F.col("key").isNull(), None)
-        .when(F.col("query") == F.col("key"), 0)
+        .when(F.col("e0"), 0)
         .when(F.col("e1"), 1)
         .when(F.col("e2") & (F.count_if("e2").over(slot) == 1), 2)
-        .when((F.col("s3") >= cutoff) & (F.row_number().over(ranked) <= 3) & ~T.differs_by_re("query", "key"), 3)
+        .when((F.col("s3") >= cutoff) & (F.row_number().over(ranked) <= 3) & ~F.col("re"), 3)
         .when(F.col("s4") >= 0.8, 4)
         .when(F.col("q5") & ((~F.col("m5") & (n5 == 1)) | ((n5 == 0) & (F.count_if("q5").over(slot) == 1))), 5)
     )
